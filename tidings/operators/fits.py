@@ -126,7 +126,7 @@ def fit_space(
             maxIter=params.max_iter,
             seed=params.seed,
             featuresCol=column,
-            predictionCol="cluster",
+            predictionCol="_node",
         )
         return LevelModel(PipelineModel([*stages, kmeans.fit(features)]))
     finally:
@@ -167,7 +167,7 @@ def assign(
     placed = model.pipeline.transform(df)
     # k rows
     met = placed.join(
-        F.broadcast(centres), placed["cluster"] == centres["_cluster"], "left"
+        F.broadcast(centres), placed["_node"] == centres["_cluster"], "left"
     )
     return met.select(
         *kept,
@@ -176,9 +176,10 @@ def assign(
     )
 
 
-def in_parallel(work: Callable[[T], R], items: Iterable[T], threads: int) -> list[R]:
+def in_parallel(
+    session: SparkSession, work: Callable[[T], R], items: Iterable[T], threads: int
+) -> list[R]:
     """Run independent fits side by side, so small nodes do not wait for each other."""
-    session = SparkSession.getActiveSession()
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
         jobs = [pool.submit(inheritable_thread_target(session)(work), i) for i in items]
         return [job.result() for job in jobs]
@@ -235,7 +236,7 @@ def fit_hierarchy(
     """
     spark = df.sparkSession
     first, second = params
-    level1, placed = fit_level(df.select(key, words), first, key, words, partitions)
+    level1, placed = fit_level(df, first, key, words, partitions)
     level1.save(f"{path}/firstLevel")
 
     placed.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/level1")
@@ -254,21 +255,22 @@ def fit_hierarchy(
         model.save(f"{path}/secondLevel/node={index}")
         return model
 
-    level2 = dict(zip(clusters, in_parallel(fit_node, clusters, threads)))
+    level2 = dict(zip(clusters, in_parallel(spark, fit_node, clusters, threads)))
     assign_level2(placed, level2).write.mode("overwrite").parquet(f"{path}/assigned")
     assigned = spark.read.parquet(f"{path}/assigned")
 
-    main = _labels(assigned, ["cluster"], first, words)
-    sub = _labels(assigned, ["cluster", "subcluster"], second, words)
+    main = label_level(assigned, ["cluster"], first, words)
+    sub = label_level(assigned, ["cluster", "subcluster"], second, words)
     topic_hierarchy_table(main, sub).write.mode("overwrite").parquet(f"{path}/topics")
     return Hierarchy(
         level1, level2, assigned, spark.read.parquet(f"{path}/topics"), params
     )
 
 
-def _labels(
-    df: DataFrame, group_cols: list[str], params: LevelParams, words: str
+def label_level(
+    df: DataFrame, group_cols: list[str], params: LevelParams, words: str = "words"
 ) -> DataFrame:
+    """Labels as the level's parameters ask for: adaptive, or fixed with its features."""
     if params.vocab_size is None:
         return label_groups(df, group_cols, params.label_length, words=words)
     return label_groups_fixed(df, group_cols, params.label_length, words)

@@ -220,7 +220,7 @@ def fit_lda_hierarchy(
         return level
 
     found = sorted(spaces)
-    level2 = dict(zip(found, in_parallel(fit_topic, found, threads)))
+    level2 = dict(zip(found, in_parallel(spark, fit_topic, found, threads)))
     described = [
         level.topics().select(
             F.lit(topic).alias("topic"), F.col("topic").alias("subtopic"), "terms"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidings.functions import text
 from tidings.operators import clusters, features, fits, labels, lda, retention, word_maps
 from tidings.plans import jobs
-from tidings.session import spread, work_dir
+from tidings.session import spread, stage, work_dir
 from tidings.sources import replay as replays
 from tidings.sources.position import index_rows
 
@@ -318,7 +318,7 @@ def vocabulary_by_group(spark, sf_dir):
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = words(spark, sf_dir)
+    docs = stage(words(spark, sf_dir), "words")
     space = features.fit_features(docs, vocab_size=100, min_df=5)
     return features.term_weights(docs, space)
 
@@ -338,7 +338,7 @@ def doc_term_tfidf(spark, sf_dir):
 
 @query
 def nonzero_docs(spark, sf_dir):
-    docs = words(spark, sf_dir)
+    docs = stage(words(spark, sf_dir), "words")
     space = features.fit_features(docs, vocab_size=3, min_df=5)
     return features.with_known_terms(docs, space).select("doc_id")
 
@@ -504,21 +504,21 @@ def union_slots(spark, sf_dir):
 
 @query
 def kmeans_level1(spark, sf_dir):
-    docs = words(spark, sf_dir)
+    docs = stage(words(spark, sf_dir), "words")
     model, placed = fits.fit_level(docs, fits.ADAPTIVE[0])
     return placed.select("doc_id", "cluster", "distance")
 
 
 @query
 def kmeans_fixed(spark, sf_dir):
-    docs = words(spark, sf_dir)
+    docs = stage(words(spark, sf_dir), "words")
     model, placed = fits.fit_level(docs, fits.FIXED[0])
     return placed.select("doc_id", "cluster", "distance")
 
 
 @query
 def assign_level1(spark, sf_dir):
-    docs = words(spark, sf_dir)
+    docs = stage(words(spark, sf_dir), "words")
     model, _ = fits.fit_level(docs, fits.FIXED[0])
     path = work_dir(spark, "assign")
     model.save(path)
@@ -528,14 +528,15 @@ def assign_level1(spark, sf_dir):
 
 @query
 def topic_hierarchy(spark, sf_dir):
-    fitted = fits.fit_hierarchy(words(spark, sf_dir), work_dir(spark, "hierarchy"))
+    docs = stage(words(spark, sf_dir), "words")
+    fitted = fits.fit_hierarchy(docs, work_dir(spark, "hierarchy"))
     return fitted.topics.select(
         "cluster", "MainTopic", "subcluster", "documents", "SubTopic"
     )
 
 
 def _lda_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lda.prepare_lda(documents(spark, sf_dir))
+    return stage(lda.prepare_lda(documents(spark, sf_dir)), "words")
 
 
 @query
@@ -566,7 +567,7 @@ def lda_hierarchy(spark, sf_dir):
 @query
 def word_vectors(spark, sf_dir):
     params = word_maps.WordParams(size=16, max_iter=1)
-    return word_maps.word_vectors(words(spark, sf_dir), params)
+    return word_maps.word_vectors(stage(words(spark, sf_dir), "words"), params)
 
 
 @query
@@ -582,7 +583,6 @@ def pca2(spark, sf_dir):
 @query
 def inspect_export(spark, sf_dir):
     params = word_maps.WordParams(size=16, max_iter=1)
-    _, maps = jobs.inspect(
-        words(spark, sf_dir), work_dir(spark, "inspect"), word_params=params
-    )
+    docs = stage(words(spark, sf_dir), "words")
+    _, maps = jobs.inspect(docs, work_dir(spark, "inspect"), word_params=params)
     return maps.select("level", "cluster", "subcluster", "word", "x", "y")
