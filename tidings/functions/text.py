@@ -1,4 +1,9 @@
-"""Text expressions: article headers, cleaning, tokens, stop words, tagged records."""
+"""Text expressions: article headers, cleaning, tokens, stop words, tagged records.
+
+``tokens`` and ``drop_stop_words_text`` mention their input more than once. Give them a
+column of the frame, not a long expression: Spark then computes the expression once, in
+the projection below. The functions on frames here and in ``plans`` do that.
+"""
 
 from __future__ import annotations
 
@@ -177,14 +182,34 @@ def article_fields(
     )
 
 
-def article_content(
-    title: Column | str,
-    text: Column | str,
+def with_content(
+    df: DataFrame,
+    *parts: str,
     stop_words: Sequence[str] = DEFAULT_STOP_WORDS,
-) -> Column:
-    """Title and text as one cleaned string without stop words."""
-    joined = F.concat(_column(title), F.lit(" "), _column(text))
-    return drop_stop_words_text(clean_article(joined), stop_words)
+    output: str = "content",
+) -> DataFrame:
+    """Add the columns ``parts``, joined by blanks, cleaned and without stop words."""
+    cleaned = clean_article(F.concat_ws(" ", *parts))
+    return (
+        df.withColumn("_cleaned", cleaned)
+        .withColumn(output, drop_stop_words_text("_cleaned", stop_words))
+        .drop("_cleaned")
+    )
+
+
+def with_words(
+    df: DataFrame,
+    content: Column,
+    stop_words: Sequence[str] = (),
+    case_sensitive: bool = True,
+    output: str = "words",
+) -> DataFrame:
+    """Add the tokens of ``content``; stop words are left out when given."""
+    placed = df.withColumn("_content", content)
+    words = tokens("_content")
+    if stop_words:
+        words = drop_stop_words(words, stop_words, case_sensitive)
+    return placed.withColumn(output, words).drop("_content")
 
 
 # -- tagged records ------------------------------------------------------------------

@@ -42,8 +42,8 @@ def _term_rows(df: DataFrame, group_cols: Sequence[str], words: str) -> DataFram
 
     Each document's tokens are sorted and zipped with their predecessors: a token that
     differs from the one before is the term's first in the document. The zip is one
-    longer than the document, which leaves exactly one NULL term per document - its
-    count is the number of documents.
+    longer than the document, which leaves exactly one NULL term per document: a row with
+    ``df`` 0 whose count is the number of documents.
     """
     ordered = df.select(
         *group_cols,
@@ -53,18 +53,17 @@ def _term_rows(df: DataFrame, group_cols: Sequence[str], words: str) -> DataFram
     pairs = ordered.select(
         *group_cols, F.inline(F.arrays_zip(F.col("_s"), before)).alias("term", "before")
     )
-    is_first = ~F.col("term").eqNullSafe(F.col("before"))
+    is_first = F.col("term").isNotNull() & ~F.col("term").eqNullSafe(F.col("before"))
     return pairs.groupBy(*group_cols, "term").agg(
         F.count("*").alias("n"), F.sum(is_first.cast("long")).alias("df")
     )
 
 
-def group_totals(terms: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+def _group_totals(terms: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Documents and distinct tokens of each group, from :func:`_term_rows`."""
-    is_total = F.col("term").isNull()
     return terms.groupBy(*group_cols).agg(
-        F.sum(F.when(is_total, F.col("n")).otherwise(0)).alias("documents"),
-        F.sum(F.when(is_total, 0).otherwise(F.col("df"))).alias("distinct_tokens"),
+        F.sum(F.when(F.col("df") == 0, F.col("n")).otherwise(0)).alias("documents"),
+        F.sum("df").alias("distinct_tokens"),
     )
 
 
@@ -81,21 +80,37 @@ def vocabulary(
     documents). The ``vocab_size`` most frequent stay, equal counts in term order; rank 0
     is the most frequent. What is not given follows from the group as in
     :func:`adaptive_params`. ``idf`` is ``ln((documents + 1) / (df + 1))``.
+    """
+    return vocabulary_and_totals(df, group_cols, vocab_size, min_df, words)[0]
+
+
+def vocabulary_and_totals(
+    df: DataFrame,
+    group_cols: Sequence[str] = (),
+    vocab_size: int | None = None,
+    min_df: float | None = None,
+    words: str = "words",
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`vocabulary` and one row per group with ``documents``, for groups without terms.
 
-    Ranking one group in one task is safe. A fixed size is cut before the shuffle. Of an
-    adaptive minimum follows that few terms are left to rank - no more than nine times the
-    average number of distinct tokens can be in a fifth of the documents. An adaptive size
-    under a given minimum has no such bound and is cut in salted parts.
+    Both hang on the same shuffle of term rows, which Spark runs once; filters are put on
+    aggregates, not on ``term``, so that they do not reach below it and set the two apart.
+
+    Ranking one group in one task is safe. A fixed size is cut before the shuffle. An
+    adaptive minimum leaves few terms to rank: no more than nine times the average number
+    of distinct tokens can be in a fifth of the documents. An adaptive size under a given
+    minimum has no such bound and is cut in salted parts.
     """
     keys = list(group_cols) or [_ALL]
     if not group_cols:
         df = df.withColumn(_ALL, F.lit(0))
     terms = _term_rows(df, keys, words)
-    totals = group_totals(terms, keys)
-    if not group_cols or few_groups(df, keys):
-        totals = F.broadcast(totals)
+    totals = _group_totals(terms, keys)
+    few = not group_cols or few_groups(df, keys)
 
-    known = join_groups(terms.where(F.col("term").isNotNull()), totals, keys)
+    known = join_groups(
+        terms.where(F.col("df") > 0), F.broadcast(totals) if few else totals, keys
+    )
     if min_df is None:
         floor = F.floor(F.col("documents") / 5)
     elif min_df < 1:
@@ -106,11 +121,13 @@ def vocabulary(
 
     order = [F.desc("n"), F.asc("term")]
     if vocab_size is not None:
+        if not group_cols:
+            known = known.orderBy(*order).limit(vocab_size)
         ranked = first_per_group(known, keys, order, vocab_size)
     else:
         size = F.floor(F.col("distinct_tokens") / F.col("documents"))
         ranked = first_per_group(known, keys, order, size, salted=min_df is not None)
-    return ranked.select(
+    found = ranked.select(
         *group_cols,
         (F.col("position") - 1).alias("rank"),
         "term",
@@ -119,6 +136,7 @@ def vocabulary(
         "documents",
         F.log((F.col("documents") + 1) / (F.col("df") + 1)).alias("idf"),
     )
+    return found, totals.select(*group_cols, "documents")
 
 
 @dataclass(frozen=True)

@@ -79,9 +79,9 @@ def prepare_lda(
     With ``lemmas`` the text is stripped of punctuation and lemmatised instead.
     """
     if lemmas is None:
-        cleaned = text.tokens(text.clean_for_lda(text_col))
-        return df.select(
-            key, text.drop_stop_words(cleaned, stop_words, case_sensitive=False).alias("words")
+        cleaned = text.clean_for_lda(text_col)
+        return text.with_words(df, cleaned, stop_words, case_sensitive=False).select(
+            key, "words"
         )
     plain = F.regexp_replace(F.col(text_col), r"[^a-zA-Z0-9\s]", "")
     tokens = df.select(key, F.filter(F.split(plain, r"\s+"), lambda w: w != "").alias("words"))

@@ -46,9 +46,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents as cleaned tokens without stop words."""
     cleaned = F.trim(text.clean_article("text"))
-    return documents(spark, sf_dir).select(
-        "doc_id", *columns, text.drop_stop_words(text.tokens(cleaned)).alias("words")
-    )
+    found = text.with_words(documents(spark, sf_dir), cleaned, text.DEFAULT_STOP_WORDS)
+    return found.select("doc_id", *columns, "words")
+
+
+def all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cleaned tokens, stop words included."""
+    cleaned = text.clean_article("text")
+    return text.with_words(documents(spark, sf_dir), cleaned).select("doc_id", "words")
 
 
 def _minutes(doc_id: str) -> Column:
@@ -145,15 +150,13 @@ def clean_text_lda(spark, sf_dir):
 
 @query
 def stopwords_string(spark, sf_dir):
-    return documents(spark, sf_dir).select(
-        "doc_id", text.drop_stop_words_text(text.clean_article("text")).alias("content")
-    )
+    return text.with_content(documents(spark, sf_dir), "text").select("doc_id", "content")
 
 
 @query
 def stopwords_tokens(spark, sf_dir):
-    kept = text.drop_stop_words(text.tokens(text.clean_article("text")))
-    return _exploded(documents(spark, sf_dir).select("doc_id", kept.alias("words")))
+    kept = text.drop_stop_words("words")
+    return _exploded(all_tokens(spark, sf_dir).withColumn("words", kept))
 
 
 @query
@@ -165,19 +168,12 @@ def stopwords_default(spark, sf_dir):
 
 @query
 def tokens(spark, sf_dir):
-    return _exploded(
-        documents(spark, sf_dir).select(
-            "doc_id", text.tokens(text.clean_article("text")).alias("words")
-        )
-    )
+    return _exploded(all_tokens(spark, sf_dir))
 
 
 @query
 def token_counts(spark, sf_dir):
-    found = documents(spark, sf_dir).select(
-        "doc_id", text.tokens(text.clean_article("text")).alias("words")
-    )
-    return found.select(
+    return all_tokens(spark, sf_dir).select(
         "doc_id",
         text.token_count("words").cast("bigint").alias("total_words"),
         text.distinct_token_count("words").cast("bigint").alias("distinct_words"),
@@ -217,9 +213,8 @@ def articles_sorted(spark, sf_dir):
 
 @query
 def lemma_normalise(spark, sf_dir):
-    found = documents(spark, sf_dir).select(
-        "doc_id", text.tokens(F.trim(text.clean_article("text"))).alias("words")
-    )
+    cleaned = F.trim(text.clean_article("text"))
+    found = text.with_words(documents(spark, sf_dir), cleaned).select("doc_id", "words")
     forms = found.select(F.explode("words").alias("form")).distinct()
     suffixed = F.length("form") > 5
     lemmas = forms.where(suffixed & F.col("form").rlike("(ing|ed|s)$")).select(

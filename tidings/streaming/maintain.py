@@ -146,7 +146,7 @@ class TopicMaintainer:
             StorageLevel.MEMORY_AND_DISK
         )
         try:
-            fits = F.col("distance") <= config.threshold1
+            fits = F.coalesce(F.col("distance") <= config.threshold1, F.lit(False))
             nodes = {n: self.store.model(p) for n, p in force.nodes.items()}
             inside = assign_level2(placed.where(fits), nodes)
             outside = (
