@@ -111,6 +111,18 @@ def drop_stop_words_text(
     )
 
 
+def exploded(df: DataFrame, *keep: str, words: str = "words") -> DataFrame:
+    """``keep..., pos, token``: one row per token.
+
+    Exploding a bare column makes Spark infer the filter ``size(words) > 0`` and push it
+    down to the scan, where all the cleaning is done a second time. The zip prevents it.
+    """
+    zipped = F.posexplode(F.arrays_zip(words)).alias("pos", "_entry")
+    return df.select(*keep, zipped).select(
+        *keep, "pos", F.col("_entry")[words].alias("token")
+    )
+
+
 # -- article files -------------------------------------------------------------------
 
 

@@ -37,7 +37,7 @@ def adaptive_params(
     )
 
 
-def _term_rows(df: DataFrame, group_cols: Sequence[str], words: str) -> DataFrame:
+def term_rows(df: DataFrame, group_cols: Sequence[str], words: str) -> DataFrame:
     """Occurrences ``n`` and document frequency ``df`` of every ``(group, term)``.
 
     Each document's tokens are sorted and zipped with their predecessors: a token that
@@ -60,7 +60,7 @@ def _term_rows(df: DataFrame, group_cols: Sequence[str], words: str) -> DataFram
 
 
 def _group_totals(terms: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Documents and distinct tokens of each group, from :func:`_term_rows`."""
+    """Documents and distinct tokens of each group, from :func:`term_rows`."""
     return terms.groupBy(*group_cols).agg(
         F.sum(F.when(F.col("df") == 0, F.col("n")).otherwise(0)).alias("documents"),
         F.sum("df").alias("distinct_tokens"),
@@ -104,10 +104,37 @@ def vocabulary_and_totals(
     keys = list(group_cols) or [_ALL]
     if not group_cols:
         df = df.withColumn(_ALL, F.lit(0))
-    terms = _term_rows(df, keys, words)
-    totals = _group_totals(terms, keys)
-    few = not group_cols or few_groups(df, keys)
+    return describe_groups(
+        term_rows(df, keys, words),
+        keys,
+        vocab_size,
+        min_df,
+        few=not group_cols or few_groups(df, keys),
+        single=not group_cols,
+    )
+
+
+def coarser(terms: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Term rows of larger groups from those of the groups they consist of."""
+    return terms.groupBy(*group_cols, "term").agg(
+        F.sum("n").alias("n"), F.sum("df").alias("df")
+    )
+
 
+def describe_groups(
+    terms: DataFrame,
+    keys: Sequence[str],
+    vocab_size: int | None,
+    min_df: float | None,
+    few: bool,
+    single: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`vocabulary_and_totals` from term rows.
+
+    ``few`` says that the number of groups is known to be small, ``single`` that there is
+    but one.
+    """
+    totals = _group_totals(terms, keys)
     known = join_groups(
         terms.where(F.col("df") > 0), F.broadcast(totals) if few else totals, keys
     )
@@ -121,14 +148,15 @@ def vocabulary_and_totals(
 
     order = [F.desc("n"), F.asc("term")]
     if vocab_size is not None:
-        if not group_cols:
+        if single:
             known = known.orderBy(*order).limit(vocab_size)
         ranked = first_per_group(known, keys, order, vocab_size)
     else:
         size = F.floor(F.col("distinct_tokens") / F.col("documents"))
         ranked = first_per_group(known, keys, order, size, salted=min_df is not None)
+    kept = [k for k in keys if k != _ALL]
     found = ranked.select(
-        *group_cols,
+        *kept,
         (F.col("position") - 1).alias("rank"),
         "term",
         "n",
@@ -136,7 +164,7 @@ def vocabulary_and_totals(
         "documents",
         F.log((F.col("documents") + 1) / (F.col("df") + 1)).alias("idf"),
     )
-    return found, totals.select(*group_cols, "documents")
+    return found, totals.select(*kept, "documents")
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import TypeVar
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 from tidings.functions.vectors import squared_distance
 from tidings.operators.features import FeatureSpace, fit_features, fit_features_by_group
 from tidings.operators.labels import (
-    label_groups,
-    label_groups_fixed,
+    FIXED_LABELS,
+    LabelParams,
+    label_two_levels,
     topic_hierarchy_table,
 )
 from tidings.session import shuffle_width
 
+# Stands for the first level among the nodes, which are numbered from 0.
+LEVEL1 = -1
+
 T = TypeVar("T")
 R = TypeVar("R")
 
@@ -237,8 +241,6 @@ def fit_hierarchy(
     spark = df.sparkSession
     first, second = params
     level1, placed = fit_level(df, first, key, words, partitions)
-    level1.save(f"{path}/firstLevel")
-
     placed.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/level1")
     placed = spark.read.parquet(f"{path}/level1")
     spaces = fit_features_by_group(
@@ -247,6 +249,9 @@ def fit_hierarchy(
     clusters = range(max(1, len(level1.centres)))
 
     def fit_node(index: int) -> LevelModel:
+        if index == LEVEL1:
+            level1.save(f"{path}/firstLevel")
+            return level1
         space = spaces.get(index)
         if space is None:
             return LevelModel(None)
@@ -255,22 +260,23 @@ def fit_hierarchy(
         model.save(f"{path}/secondLevel/node={index}")
         return model
 
-    level2 = dict(zip(clusters, in_parallel(spark, fit_node, clusters, threads)))
+    work = [LEVEL1, *clusters]
+    level2 = dict(zip(work, in_parallel(spark, fit_node, work, threads)))
+    del level2[LEVEL1]
     assign_level2(placed, level2).write.mode("overwrite").parquet(f"{path}/assigned")
     assigned = spark.read.parquet(f"{path}/assigned")
 
-    main = label_level(assigned, ["cluster"], first, words)
-    sub = label_level(assigned, ["cluster", "subcluster"], second, words)
+    main, sub = label_two_levels(
+        assigned, label_params(first), label_params(second), words=words
+    )
     topic_hierarchy_table(main, sub).write.mode("overwrite").parquet(f"{path}/topics")
     return Hierarchy(
         level1, level2, assigned, spark.read.parquet(f"{path}/topics"), params
     )
 
 
-def label_level(
-    df: DataFrame, group_cols: list[str], params: LevelParams, words: str = "words"
-) -> DataFrame:
-    """Labels as the level's parameters ask for: adaptive, or fixed with its features."""
+def label_params(params: LevelParams) -> LabelParams:
+    """Labels as the level asks for: adaptive, or fixed where its features are."""
     if params.vocab_size is None:
-        return label_groups(df, group_cols, params.label_length, words=words)
-    return label_groups_fixed(df, group_cols, params.label_length, words)
+        return LabelParams(params.label_length)
+    return replace(FIXED_LABELS, length=params.label_length)

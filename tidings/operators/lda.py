@@ -161,8 +161,10 @@ def membership(
 ) -> DataFrame:
     """One row per topic that a document belongs to with at least ``min_probability``."""
     others = [c for c in df.columns if c != dist]
-    return df.select(*others, F.posexplode(dist).alias("topic", "probability")).where(
-        F.col("probability") >= min_probability
+    return (
+        text.exploded(df, *others, words=dist)
+        .withColumnsRenamed({"pos": "topic", "token": "probability"})
+        .where(F.col("probability") >= min_probability)
     )
 
 

@@ -89,10 +89,8 @@ def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", line.alias("value"))
 
 
-def _exploded(df: DataFrame, column: str = "words") -> DataFrame:
-    return df.select("doc_id", F.posexplode(column).alias("pos", "token")).select(
-        "doc_id", F.col("pos").cast("bigint").alias("pos"), "token"
-    )
+def _exploded(df: DataFrame) -> DataFrame:
+    return text.exploded(df, "doc_id").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _time(column: str) -> Column:
@@ -215,7 +213,7 @@ def articles_sorted(spark, sf_dir):
 def lemma_normalise(spark, sf_dir):
     cleaned = F.trim(text.clean_article("text"))
     found = text.with_words(documents(spark, sf_dir), cleaned).select("doc_id", "words")
-    forms = found.select(F.explode("words").alias("form")).distinct()
+    forms = text.exploded(found).select(F.col("token").alias("form")).distinct()
     suffixed = F.length("form") > 5
     lemmas = forms.where(suffixed & F.col("form").rlike("(ing|ed|s)$")).select(
         "form", F.regexp_replace("form", "(ing|ed|s)$", "").alias("lemma")
@@ -355,8 +353,9 @@ def topic_pairs(spark, sf_dir):
     docs = words(spark, sf_dir, "source", "lang").select(
         "doc_id", F.col("source").alias("cluster"), F.col("lang").alias("subcluster"), "words"
     )
-    main = labels.label_groups_fixed(docs, ["cluster"])
-    sub = labels.label_groups_fixed(docs, ["cluster", "subcluster"])
+    main, sub = labels.label_two_levels(
+        docs, labels.LabelParams(4, 20, 1), labels.LabelParams(4, 20, 1)
+    )
     return labels.topic_pairs(labels.topic_hierarchy_table(main, sub))
 
 

@@ -22,15 +22,17 @@ from tidings.operators.clusters import route
 from tidings.operators.features import fit_features
 from tidings.operators.fits import (
     ADAPTIVE,
+    LEVEL1,
     LevelParams,
     assign,
     assign_level2,
     fit_hierarchy,
     fit_space,
-    label_level,
+    label_params,
 )
+from tidings.operators.labels import label_groups
 from tidings.plans.jobs import line_words
-from tidings.streaming.store import LEVEL1_NODE, InForce, TopicStore
+from tidings.streaming.store import InForce, TopicStore
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,10 @@ class TopicMaintainer:
             for node, model in fitted.level2.items()
         }
         force = InForce(batch_id, batch_id, f"{path}/firstLevel", nodes)
-        rows = [("global", LEVEL1_NODE, force.level1, False)]
+        self.store.remember(force.level1, fitted.level1)
+        for node, model in fitted.level2.items():
+            self.store.remember(nodes[node], model)
+        rows = [("global", LEVEL1, force.level1, False)]
         rows += [("global", node, p, p is None) for node, p in nodes.items()]
         return force, rows
 
@@ -224,12 +229,20 @@ class TopicMaintainer:
         model.save(f"{self.store.path}/{path}/model")
 
         inside = assign(training, model, "subcluster", "subdistance")
-        label_level(inside, ["cluster", "subcluster"], config.level2).select(
+        labels = label_params(config.level2)
+        label_groups(
+            inside,
+            ["cluster", "subcluster"],
+            labels.length,
+            labels.vocab_size,
+            labels.min_df,
+        ).select(
             "cluster", "subcluster", "documents", F.col("label").alias("SubTopic")
         ).write.mode("overwrite").parquet(f"{self.store.path}/{path}/topics")
 
         leaf = model.pipeline is None
         saved = None if leaf else f"{path}/model"
+        self.store.remember(saved, model)
         return (
             force.after_local(node, saved, batch_id),
             [("local", node, saved, leaf)],

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.operators.fits import LevelModel
+from tidings.operators.fits import LEVEL1, LevelModel
 from tidings.operators.retention import append, keep_newest
 
 STATE_SCHEMA = (
@@ -31,7 +31,6 @@ REGISTRY_SCHEMA = (
     "committed_at TIMESTAMP"
 )
 FIRST_GENERATION = -1
-LEVEL1_NODE = -1
 
 
 @dataclass(frozen=True)
@@ -85,7 +84,7 @@ class TopicStore:
         version = fits[-1]["batch_id"]
         for row in (r for r in fits if r["batch_id"] == version):
             path = None if row["leaf"] else row["path"]
-            if row["node"] == LEVEL1_NODE:
+            if row["node"] == LEVEL1:
                 force = replace(force, version=version, level1=path)
             else:
                 force = replace(force, nodes={**force.nodes, row["node"]: path})
@@ -122,6 +121,11 @@ class TopicStore:
             self._models[path] = LevelModel.load(f"{self.path}/{path}")
         return self._models[path]
 
+    def remember(self, path: str | None, model: LevelModel) -> None:
+        """Keep a model that was just saved, so that it need not be loaded."""
+        if path is not None:
+            self._models[path] = model
+
     def forget_models(self, force: InForce) -> None:
         """Drop cached models that are no longer in force."""
         used = {force.level1, *force.nodes.values()}
