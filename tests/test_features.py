@@ -116,3 +116,18 @@ def test_documents_are_exploded_once(spark, small, tmp_path, size):
     plan = plan_of(labels.label_groups(grouped, ["g"], 2, vocab_size=size))
     assert plan.count("Generate inline") == 1
     assert "ReusedExchange" in plan
+
+
+def test_two_levels_share_the_scan(spark, small, tmp_path):
+    keyed = small.withColumn("cluster", F.col("doc_id") % 2)
+    keyed.withColumn("subcluster", F.col("doc_id")).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    fixed = labels.FIXED_LABELS
+    main, sub = labels.label_two_levels(docs, fixed, fixed)
+    pairs = labels.topic_pairs(labels.topic_hierarchy_table(main, sub))
+    assert plan_of(pairs).count("Generate inline") == 1
+    apart = labels.topic_hierarchy_table(
+        labels.label_groups_fixed(docs, ["cluster"]),
+        labels.label_groups_fixed(docs, ["cluster", "subcluster"]),
+    )
+    assert sorted(pairs.collect()) == sorted(labels.topic_pairs(apart).collect())

@@ -164,7 +164,9 @@ def describe_groups(
         "documents",
         F.log((F.col("documents") + 1) / (F.col("df") + 1)).alias("idf"),
     )
-    return found, totals.select(*kept, "documents")
+    # The condition always holds. It keeps the sum in the plan when a caller drops the
+    # column, and with it the shuffle in the shape that the branches share.
+    return found, totals.where(F.col("documents") >= 0).select(*kept, "documents")
 
 
 @dataclass(frozen=True)

@@ -212,13 +212,15 @@ def articles_sorted(spark, sf_dir):
 @query
 def lemma_normalise(spark, sf_dir):
     cleaned = F.trim(text.clean_article("text"))
-    found = text.with_words(documents(spark, sf_dir), cleaned).select("doc_id", "words")
+    found = stage(
+        text.with_words(documents(spark, sf_dir), cleaned).select("doc_id", "words"), "words"
+    )
     forms = text.exploded(found).select(F.col("token").alias("form")).distinct()
     suffixed = F.length("form") > 5
     lemmas = forms.where(suffixed & F.col("form").rlike("(ing|ed|s)$")).select(
         "form", F.regexp_replace("form", "(ing|ed|s)$", "").alias("lemma")
     )
-    return lda.normalise_with_lemmas(found, lemmas)
+    return lda.normalise_with_lemmas(found, stage(lemmas, "lemmas"))
 
 
 @query
