@@ -46,13 +46,19 @@ def with_distance(
     )
 
 
-def collect_centres(centres: DataFrame, width: int, cluster: str = "cluster"):
-    """Ids and centres as arrays, ordered by id, once their number is known to be small."""
-    most = MAX_CENTRE_VALUES // max(width, 1)
+def check_centres(df: DataFrame, centres: DataFrame, cluster: str, vector: str) -> None:
+    """Refuse centres that are too many to be held in every task that reads ``df``."""
+    sample = df.select(F.size(vector)).first()
+    width = max(sample[0] if sample else 0, 1)
+    most = MAX_CENTRE_VALUES // width
     if centres.select(cluster).limit(most + 1).count() > most:
         raise ValueError(
             f"more than {most} centres of {width} values: too large to hold in every task"
         )
+
+
+def collect_centres(centres: DataFrame, cluster: str = "cluster"):
+    """Ids and centres as arrays, ordered by id. Check their number before."""
     rows = centres.select(cluster, "centre").orderBy(cluster).collect()
     ids = np.array([r[cluster] for r in rows], dtype=np.int32)
     return ids, np.array([r["centre"] for r in rows], dtype=np.float64)
@@ -66,8 +72,8 @@ def nearest_centroid(
     Centres are few and checked, vectors are many: each Arrow batch of vectors meets
     every centre in NumPy, and no pair of rows is ever formed.
     """
-    sample = df.select(F.size(vector)).first()
-    ids, matrix = collect_centres(centres, sample[0] if sample else 0, cluster)
+    check_centres(df, centres, cluster, vector)
+    ids, matrix = collect_centres(centres, cluster)
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
 
     @F.pandas_udf("cluster INT, distance DOUBLE")
@@ -105,13 +111,14 @@ def nearest_subcentre(
 
     A cluster without subcentres leaves both NULL.
     """
+    check_centres(df, subcentres, cluster, vector)
     per_cluster = subcentres.groupBy(cluster).agg(
         # the few second-level centres of one node
         F.collect_list(F.struct(F.col(subcluster).alias("id"), "centre")).alias("_subs")
     )
     near = nearest_of(F.col(vector).cast("array<double>"), F.col("_subs"))
     return (
-        df.join(small_side(per_cluster), cluster, "left")
+        df.join(F.broadcast(per_cluster), cluster, "left")
         .withColumn("_near", near)
         .withColumn(subcluster, F.col("_near.id"))
         .withColumn("subdistance", F.col("_near.distance"))

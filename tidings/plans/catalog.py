@@ -531,6 +531,95 @@ def topic_hierarchy(spark, sf_dir):
     )
 
 
+def _measures(values: dict[str, Column], df: DataFrame) -> DataFrame:
+    """One ``measure, value`` row per named aggregate of ``df``."""
+    row = df.agg(*[v.cast("bigint").alias(k) for k, v in values.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in values])
+    return row.select(F.inline(pairs))
+
+
+@query
+def kmeans_invariants(spark, sf_dir):
+    """Documents assigned, and how many break a rule of the fit (none should).
+
+    The nearest centre is found a second way, and by the model after a reload.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    docs = stage(words(spark, sf_dir), "words")
+    model, placed = fits.fit_level(docs, fits.FIXED[0])
+    path = work_dir(spark, "assign")
+    model.save(path)
+    loaded = fits.LevelModel.load(path)
+    again = fits.assign(docs, loaded, "reloaded", "_d").select("doc_id", "reloaded")
+    centres = spark.createDataFrame(
+        list(enumerate(model.centres)), "nearest INT, centre ARRAY<DOUBLE>"
+    )
+    vectors = loaded.pipeline.transform(docs).select(
+        "doc_id", vector_to_array("tfidf").alias("vector")
+    )
+    near = clusters.nearest_centroid(vectors, centres, cluster="nearest").select(
+        "doc_id", "nearest", F.col("distance").alias("least")
+    )
+    joined = placed.drop("words").join(again, "doc_id").join(near, "doc_id")
+    cost = F.lit(model.pipeline.stages[-1].summary.trainingCost)
+    off = F.abs(F.sum("distance") - cost) > F.lit(1e-6) * cost
+    checks = {
+        "documents": F.countDistinct("doc_id"),
+        "rows": F.count("*"),
+        "not_nearest": F.count_if(F.col("distance") > F.col("least") + 1e-6),
+        "differs_when_reloaded": F.count_if(F.col("cluster") != F.col("reloaded")),
+        "cost_is_off": F.when(off, 1).otherwise(0),
+    }
+    return _measures(checks, joined)
+
+
+@query
+def hierarchy_invariants(spark, sf_dir):
+    """Documents of the assignments and of the topic table, and unlabelled topics."""
+    docs = stage(words(spark, sf_dir), "words")
+    path = work_dir(spark, "hierarchy")
+    fitted = fits.fit_hierarchy(docs, path, fits.FIXED)
+    topics = _measures(
+        {
+            "documents_in_topics": F.sum("documents"),
+            "missing_labels": F.count_if(F.col("MainTopic") == ""),
+        },
+        fitted.topics,
+    )
+    assigned = _measures(
+        {"documents_assigned": F.countDistinct("doc_id")}, fitted.assigned
+    )
+    return topics.unionByName(assigned)
+
+
+@query
+def lda_invariants(spark, sf_dir):
+    """Documents, those without any vocabulary term, and sums that are neither 0 nor 1.
+
+    A document without terms has no topic: its distribution is all zeros.
+    """
+    docs = _lda_words(spark, sf_dir)
+    found = lda.fit_lda(docs).distributions(docs)
+    total = F.aggregate("topic_dist", F.lit(0.0), lambda a, b: a + b)
+    return _measures(
+        {
+            "documents": F.countDistinct("doc_id"),
+            "without_terms": F.count_if(total == 0),
+            "do_not_add_up": F.count_if((total != 0) & (F.abs(total - 1) > 1e-6)),
+        },
+        found,
+    )
+
+
+@query
+def word_vectors_words(spark, sf_dir):
+    """Every word of the corpus has a vector."""
+    params = word_maps.WordParams(size=4, max_iter=1)
+    docs = stage(words(spark, sf_dir), "words")
+    return word_maps.word_vectors(docs, params).select("word")
+
+
 def _lda_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(lda.prepare_lda(documents(spark, sf_dir)), "words")
 

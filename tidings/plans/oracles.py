@@ -386,4 +386,30 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT event_id, 'warehouse' AS slot FROM events WHERE event_type <> 'error'
     """,
+    # what holds for every fit, whatever its random start
+    "kmeans_invariants": """
+        SELECT 'documents' AS measure, count(DISTINCT doc_id) AS value FROM documents
+        UNION ALL SELECT 'rows', count(*) FROM documents
+        UNION ALL SELECT 'not_nearest', 0
+        UNION ALL SELECT 'differs_when_reloaded', 0
+        UNION ALL SELECT 'cost_is_off', 0
+    """,
+    "hierarchy_invariants": """
+        SELECT 'documents_in_topics' AS measure, count(*) AS value FROM documents
+        UNION ALL SELECT 'missing_labels', 0
+        UNION ALL SELECT 'documents_assigned', count(DISTINCT doc_id) FROM documents
+    """,
+    "lda_invariants": f"""
+        WITH {_LDA},
+        split AS (SELECT doc_id, {_split('c')} AS w FROM cleaned),
+        tok AS (SELECT doc_id, unnest(w) AS term FROM split),
+        kept AS (SELECT * FROM tok WHERE term NOT IN ({_STOP})),
+        vocab AS (SELECT term FROM kept GROUP BY term ORDER BY count(*) DESC, term LIMIT 20),
+        known AS (SELECT DISTINCT doc_id FROM kept WHERE term IN (SELECT term FROM vocab))
+        SELECT 'documents' AS measure, count(*) AS value FROM documents
+        UNION ALL SELECT 'without_terms', count(*) FROM documents
+                  WHERE doc_id NOT IN (SELECT doc_id FROM known)
+        UNION ALL SELECT 'do_not_add_up', 0
+    """,
+    "word_vectors_words": f"WITH {_WORDS} SELECT DISTINCT term AS word FROM tok",
 }

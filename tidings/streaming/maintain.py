@@ -9,7 +9,7 @@ not into a per-key stateful operator.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,7 @@ class TopicMaintainer:
     ) -> None:
         self.store = TopicStore(spark, path)
         self.config = config
+        self._next: tuple[int, InForce] | None = None
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Route one batch, refit what has to be refitted, publish the outcome."""
@@ -71,15 +72,18 @@ class TopicMaintainer:
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .withColumn("doc_id", F.xxhash64("batch_id", "seq"))
         )
-        force = self.store.in_force(spark, batch_id)
-        if force.version is None:
-            self._collect(docs, force, batch_id)
+        # after a finished batch the outcome is known; otherwise the registry tells
+        expected, self._next = self._next, None
+        if expected and expected[0] == batch_id:
+            force = expected[1]
         else:
-            self._maintain(docs, force, batch_id)
+            force = self.store.in_force(spark, batch_id)
+        step = self._collect if force.version is None else self._maintain
+        self._next = (batch_id + 1, step(docs, force, batch_id))
 
     # -- before the first model ------------------------------------------------------
 
-    def _collect(self, docs: DataFrame, force: InForce, batch_id: int) -> None:
+    def _collect(self, docs: DataFrame, force: InForce, batch_id: int) -> InForce:
         spark = docs.sparkSession
         boot = (
             docs.withColumn("slot", F.lit("boot"))
@@ -89,14 +93,17 @@ class TopicMaintainer:
         self.store.write_state(boot, force.generation, batch_id)
         held = self.store.rows(spark, force, batch_id)
         if held.count() < self.config.bootstrap:
-            return
+            return force
         changed = self._refit_all(spark, held, held, batch_id)
-        if changed:
-            self.store.commit(spark, batch_id, changed[1])
+        if not changed:
+            return force
+        force, rows = changed
+        self.store.commit(spark, batch_id, rows)
+        return force
 
     # -- with a model ----------------------------------------------------------------
 
-    def _maintain(self, docs: DataFrame, force: InForce, batch_id: int) -> None:
+    def _maintain(self, docs: DataFrame, force: InForce, batch_id: int) -> InForce:
         spark = docs.sparkSession
         config = self.config
         self.store.forget_models(force)
@@ -125,7 +132,9 @@ class TopicMaintainer:
                 self._state(spark, force, batch_id), batch_id, batch_id
             )
             rows.append(("compact", None, None, False))
+            force = replace(force, generation=batch_id)
         self.store.commit(spark, batch_id, rows)
+        return force
 
     def _state(self, spark: SparkSession, force: InForce, batch_id: int) -> DataFrame:
         return self.store.state(spark, force, batch_id, self.config.warehouse_limit)
