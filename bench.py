@@ -1,7 +1,7 @@
 """Headline queries at one scale; prints one JSON line.
 
 Seconds per query are the median of three runs on a warm session, every result consumed
-in full. ``stream_replay`` replays all documents in ten batches through a topic stream
+in full. ``stream_replay`` replays all documents in five batches through a topic stream
 whose first batch fits the hierarchy.
 """
 
@@ -23,10 +23,11 @@ from tidings.streaming.maintain import StreamConfig, TopicMaintainer
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+BATCHES = 5
 HEADLINE = (
-    "clean_text", "tokens", "cluster_labels", "cluster_labels_fixed", "topic_pairs",
-    "doc_term_tfidf", "preprocess_articles", "nearest_centroid", "route_docs",
-    "retain_newest", "replay_slices", "kmeans_level1", "lda_level1",
+    "cluster_labels", "doc_term_tfidf", "nearest_centroid", "kmeans_level1",
+    "lda_level1", "clean_text", "tokens", "topic_pairs", "preprocess_articles",
+    "route_docs", "retain_newest", "replay_slices",
 )
 
 
@@ -36,7 +37,7 @@ def consume(frame) -> None:
 
 def replay_stream(spark) -> dict[str, float]:
     docs = catalog.words(spark, SF_DIR)
-    size = -(-docs.count() // 10)
+    size = -(-docs.count() // BATCHES)
     sliced = slices(docs, "doc_id", size=size).cache()
     sliced.count()
     # distances are not normalised: a threshold near the median keeps both outcomes
@@ -46,7 +47,7 @@ def replay_stream(spark) -> dict[str, float]:
     )
     maintainer = TopicMaintainer(spark, work_dir(spark, "bench"), config)
     timings = []
-    for batch_id in range(10):
+    for batch_id in range(BATCHES):
         start = time.perf_counter()
         maintainer.process(sliced.where(f"slice = {batch_id}"), batch_id)
         timings.append(time.perf_counter() - start)
@@ -57,7 +58,7 @@ def replay_stream(spark) -> dict[str, float]:
         "stream_replay": sum(timings),
         "stream_refit_batch": max(t for i, t in enumerate(timings) if i in refits),
         "stream_plain_batch": statistics.median(plain) if plain else 0.0,
-        "stream_docs_per_sec": 10 * size / sum(timings),
+        "stream_docs_per_sec": BATCHES * size / sum(timings),
     }
 
 

@@ -14,7 +14,7 @@ def spark():
         "tests",
         **{
             "spark.master": "local[8]",
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
         },

@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,14 +50,22 @@ def snapshot(maintainer, spark, batch_id):
     return sorted(map(tuple, rows), key=repr), sorted(map(tuple, registry), key=repr)
 
 
-@pytest.fixture
-def booted(spark, tmp_path):
-    maintainer = TopicMaintainer(spark, str(tmp_path / "store"), config())
+@pytest.fixture(scope="module")
+def boot_store(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("boot") / "store"
+    maintainer = TopicMaintainer(spark, str(path), config())
     maintainer.process(batch(spark, *BOOT[0]), 0)
     assert maintainer.store.in_force(spark, 1).version is None
     assert slots(maintainer, spark, 0) == {"boot": 5}
     maintainer.process(batch(spark, *BOOT[1]), 1)
-    return maintainer
+    return path
+
+
+@pytest.fixture
+def booted(spark, boot_store, tmp_path):
+    """A store behind its first fit; all paths inside are relative, so a copy will do."""
+    shutil.copytree(boot_store, tmp_path / "store")
+    return TopicMaintainer(spark, str(tmp_path / "store"), config())
 
 
 def test_bootstrap_fits_when_enough_documents_are_there(spark, booted):

@@ -83,7 +83,7 @@ def prepare_lda(
         return text.with_words(df, cleaned, stop_words, case_sensitive=False).select(
             key, "words"
         )
-    plain = F.regexp_replace(F.col(text_col), r"[^a-zA-Z0-9\s]", "")
+    plain = F.regexp_replace(F.col(text_col), r"[^\p{Alnum}\s]+", "")
     tokens = df.select(key, F.filter(F.split(plain, r"\s+"), lambda w: w != "").alias("words"))
     joined = normalise_with_lemmas(tokens, lemmas, stop_words, key)
     return joined.select(key, text.tokens("content").alias("words"))

@@ -175,7 +175,9 @@ class TopicMaintainer:
                 config.warehouse_limit,
             )
             state = retention.append(routed.where(F.col("slot") != "warehouse"), stored)
-            self.store.write_state(state, force.generation, batch_id)
+            # as many files as the batch has partitions, not one for each branch of each
+            files = max(1, placed.rdd.getNumPartitions())
+            self.store.write_state(state.coalesce(files), force.generation, batch_id)
         finally:
             placed.unpersist()
 
