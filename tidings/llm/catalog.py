@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidings.llm import arc, bpe_codec, chat, licences, recipes, token_counts
+from tidings.llm import (
+    arc,
+    bpe_codec,
+    chat,
+    fuzzy_lines,
+    leaks,
+    licences,
+    recipes,
+    shingle_join,
+    token_counts,
+)
 from tidings.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +36,31 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id"))
 
 
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id"))
+
+
+@query
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return leaks.find_leaks(read_table(spark, sf_dir, "documents", "doc_id"), items)
+
+
 @query
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.license_scan(read_table(spark, sf_dir, "documents", "doc_id"))
     return found.drop("spans")
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text, and how many of its lines went."""
+    left = fuzzy_lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id"))
+    return left.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def conversation_log(conversations: DataFrame) -> DataFrame:
     """The log of finished conversations: each row is one delta of a message of its own.
 
