@@ -11,7 +11,6 @@ a longest token's worth of them in a row agrees.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from collections.abc import Sequence
 from functools import lru_cache
@@ -27,7 +26,7 @@ from tidings.llm.splitting import Memory, public_split
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Encoded pre-tokens that a worker remembers per generation, and pairs it has judged.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 class PrefixCodec:
@@ -100,7 +99,7 @@ class PrefixCodec:
         ranks, tokens, longest = self.ranks, self.tokens, self.longest
         pairs, may_follow = self.pairs, self.may_follow
         for end in range(len(last), (len(data) if until is None else until) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
                 token = ranks.get(data[start:end])
                 if token is None:
                     continue
@@ -181,7 +180,7 @@ class TextCodec:
         self.known.turn()
         pieces = [self.split(text) for text in texts]
         known = self.known
-        for piece in sorted({p for ps in pieces for p in ps if p not in known}):
+        for piece in sorted(p for p in set().union(*pieces) if p not in known):
             known[piece]
         return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
@@ -198,27 +197,38 @@ def text_codec(name: str = RANKS) -> TextCodec:
 
 
 def encode(
-    docs: DataFrame, ranks: str = RANKS, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    ranks: str = RANKS,
+    key: str = "doc_id",
+    text: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
     """Per row: ``key``, ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens``.
 
     Each match of the splitting pattern is encoded separately, without special tokens.
     NULL and empty texts have no ids. Repeated keys give a row each; an empty table gives
-    none; other columns are not read.
+    none; other columns are not read. With ``decoded`` the ids are decoded again in the
+    same pass, to the binary column of this name.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = text_codec(ranks).encode_all([text.as_py() for text in batch.column(1)])
-        counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ids, pa.binary()), counts],
-            ["key", "ids", "n_tokens"],
-        )
+        codec = text_codec(ranks)
+        ids = codec.encode_all([text.as_py() for text in batch.column(1)])
+        columns = [
+            batch.column(0),
+            pa.array(ids, pa.binary()),
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+        ]
+        names = ["key", "ids", "n_tokens"]
+        if decoded:
+            columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
+            names.append("decoded")
+        return pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[key].dataType.simpleString()
     read = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    encoded = map_blocks(read, f"key {kind}, ids binary, n_tokens long", run)
-    return encoded.withColumnRenamed("key", key)
+    schema = f"key {kind}, ids binary, n_tokens long" + ", decoded binary" * decoded
+    return map_blocks(read, schema, run).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -230,7 +240,3 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
         return ids.map(lambda packed: codec.decode(packed) if packed is not None else b"")
 
     return encoded.withColumn("decoded", bytes_of("ids"))
-
-
-def digest(packed: bytes) -> str:
-    return hashlib.sha256(packed).hexdigest()

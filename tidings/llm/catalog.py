@@ -149,8 +149,8 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe_codec.encode(read_table(spark, sf_dir, "documents", "doc_id"))
-    return bpe_codec.decode(encoded).select(
+    documents = read_table(spark, sf_dir, "documents", "doc_id")
+    return bpe_codec.encode(documents, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
