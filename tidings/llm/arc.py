@@ -38,6 +38,8 @@ V2_FIELDS = (
 )
 FIELDS = {1: V1_FIELDS, 2: V2_FIELDS}
 _DATE = "20240101000000"
+#: Archives are packed for speed.
+_GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 # -- writing ARC ---------------------------------------------------------------------
@@ -84,11 +86,10 @@ def write_arc(pages: DataFrame, path: str, version: int, files: int) -> None:
     )
     (
         heads.unionByName(records)
-        .repartition(files, "file")
-        .sortWithinPartitions("file", "at")
+        .repartitionById(files, F.col("file"))
+        .sortWithinPartitions("at")
         .select("record")
-        .write.option("lineSep", "\n")
-        .option("compression", "gzip")
+        .write.options(lineSep="\n", **_GZIP)
         .text(path)
     )
 
@@ -231,13 +232,18 @@ def _equivalent(record: dict) -> dict:
     }
 
 
-def read_arc(spark, path: str) -> DataFrame:
-    """Records of ARC files with their WARC equivalents; version blocks have no digest."""
+def read_arc(spark, path: str, blocks: bool = True) -> DataFrame:
+    """Records of ARC files with their WARC equivalents; version blocks have no digest.
+
+    Without ``blocks`` the column ``block`` is NULL.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows = (_equivalent(r) for r in parse_arc(unpack(content.as_py())))
+                if not blocks:
+                    rows = (row | {"block": None} for row in rows)
                 yield from _by_size(rows, _CONVERTED, "block")
 
     return _files(spark, path).mapInArrow(run, _CONVERTED_SQL)
@@ -252,7 +258,8 @@ def convert(spark, source: str, target: str, files: int, min_bytes: int = 0) ->
     """
     records = read_arc(spark, source)
     first = (
-        records.where(F.col("payload_bytes") >= min_bytes)
+        read_arc(spark, source, blocks=False)
+        .where(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest", "payload_bytes")
         .agg(
             F.min(F.struct("page_id", "record_id", "uri", "date")).alias("first"),
@@ -262,7 +269,8 @@ def convert(spark, source: str, target: str, files: int, min_bytes: int = 0) ->
     same = (records["payload_digest"] == first["_digest"]) & (
         records["payload_bytes"] == first["_bytes"]
     )
-    joined = records.join(first, same, "left")
+    # one row per payload is hashed, so that the blocks need no sort
+    joined = records.join(first.hint("shuffle_hash"), same, "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     typed = joined.select(
         "page_id", "record_id", "uri", "date", "payload_digest",
@@ -277,15 +285,17 @@ def convert(spark, source: str, target: str, files: int, min_bytes: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                record = pa.array([warc_record(row)], pa.binary())
-                yield pa.RecordBatch.from_arrays([record], ["record"])
+            names, columns = batch.schema.names, batch.columns
+            rows = (
+                {"record": warc_record({n: c[i].as_py() for n, c in zip(names, columns)})}
+                for i in range(batch.num_rows)
+            )
+            yield from _by_size(rows, pa.schema([("record", pa.binary())]), "record")
 
     (
         typed.mapInArrow(run, "record binary")
         .select(F.col("record").cast("string"))
-        .write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
+        .write.options(lineSep="\r\n\r\n", **_GZIP)
         .text(target)
     )
 
