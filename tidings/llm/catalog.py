@@ -18,6 +18,7 @@ from tidings.llm import (
     recipes,
     shingle_join,
     token_counts,
+    toxicity,
 )
 from tidings.llm.common import read_table
 
@@ -36,6 +37,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id"))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    network = toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(documents, network).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id"))
