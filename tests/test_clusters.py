@@ -56,10 +56,41 @@ def test_centroids(spark, points):
     assert found[1] == pytest.approx([3.0, 3.75])
 
 
-def test_too_many_centres_are_refused(points, centres, monkeypatch):
+def test_many_centres_come_in_parts(points, centres, monkeypatch):
+    whole = clusters.nearest_centroid(points, centres).orderBy("vec_id").collect()
     monkeypatch.setattr(clusters, "MAX_CENTRE_VALUES", 2)
-    with pytest.raises(ValueError, match="too large"):
-        clusters.nearest_centroid(points, centres)
+    assert clusters.nearest_centroid(points, centres).orderBy("vec_id").collect() == whole
+
+
+def test_gaps_have_no_nearest_centre(spark, centres):
+    nan = float("nan")
+    rows = [(0, None), (1, [nan, 1.0]), (2, [3.0, 4.0]), (3, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id INT, vector ARRAY<DOUBLE>")
+    found = {r["vec_id"]: r for r in clusters.nearest_centroid(frame, centres).collect()}
+    assert found[2]["cluster"] == 1 and found[2]["distance"] == 0.0
+    assert all(found[i]["cluster"] is None for i in (0, 1, 3))
+    first_null = clusters.nearest_centroid(frame.where("vec_id = 0"), centres).first()
+    assert first_null["cluster"] is None
+    assert clusters.nearest_centroid(frame.where("vec_id > 9"), centres).count() == 0
+
+
+def test_unlisted_clusters_keep_their_rows(spark, centres):
+    rows = [(0, [0.0, 1.0], 0), (1, [0.0, 1.0], 9), (2, [0.0, 1.0], None), (3, None, 0)]
+    frame = spark.createDataFrame(rows, "vec_id INT, vector ARRAY<DOUBLE>, cluster INT")
+    found = clusters.with_distance(frame, centres).orderBy("vec_id").collect()
+    assert [r["distance"] for r in found] == [1.0, None, None, None]
+
+
+def test_closest_of_settles_ties_and_rounding():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    points = np.repeat(rng.normal(size=(20, 3)) * 1e3, 2, axis=0)
+    vectors = rng.normal(size=(50, 3)) * 1e3
+    ids, distances = clusters.closest_of(vectors, np.arange(40), points)
+    exact = ((vectors[:, None] - points) ** 2).sum(2)
+    assert ids.tolist() == exact.argmin(1).tolist()
+    assert distances.tolist() == exact.min(1).tolist()
 
 
 def test_routing_bounds(spark):

@@ -211,6 +211,12 @@ def with_content(
     )
 
 
+def filled(df: DataFrame, words: str = "words") -> DataFrame:
+    """``df`` with an empty array where ``words`` is NULL: models refuse a NULL array."""
+    empty = F.array().cast("array<string>")
+    return df.withColumn(words, F.coalesce(F.col(words), empty))
+
+
 def with_words(
     df: DataFrame,
     content: Column,
@@ -218,12 +224,15 @@ def with_words(
     case_sensitive: bool = True,
     output: str = "words",
 ) -> DataFrame:
-    """Add the tokens of ``content``; stop words are left out when given."""
+    """Add the tokens of ``content``; stop words are left out when given.
+
+    A NULL content has no tokens.
+    """
     placed = df.withColumn("_content", content)
     words = tokens("_content")
     if stop_words:
         words = drop_stop_words(words, stop_words, case_sensitive)
-    return placed.withColumn(output, words).drop("_content")
+    return filled(placed.withColumn(output, words), output).drop("_content")
 
 
 # -- tagged records ------------------------------------------------------------------

@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidings.functions.vectors import nearest_of, squared_distance
-from tidings.session import small_side
+from tidings.session import small_side, stage
 
-# Centres live on the driver while a model is in use; this is 400 MB of doubles.
+# Centres that the driver and a task hold at a time; this is 400 MB of doubles.
 MAX_CENTRE_VALUES = 50_000_000
 
 
@@ -37,67 +37,124 @@ def cluster_sizes(df: DataFrame, *groups: str) -> DataFrame:
 def with_distance(
     df: DataFrame, centres: DataFrame, cluster: str = "cluster", vector: str = "vector"
 ) -> DataFrame:
-    """Add ``distance``, the squared distance of a vector to its own cluster's centre."""
+    """Add ``distance``, the squared distance of a vector to its own cluster's centre.
+
+    Rows without a vector, without a cluster or with one that has no centre stay and have
+    a NULL distance.
+    """
     values = F.col(vector).cast("array<double>")
     return (
-        df.join(small_side(centres.select(cluster, "centre")), cluster)
-        .withColumn("distance", squared_distance(values, F.col("centre")))
-        .drop("centre")
+        df.join(small_side(centres.select(cluster, "centre")), cluster, "left")
+        .withColumn(
+            "distance",
+            F.when(F.col("centre").isNotNull(), squared_distance(values, F.col("centre"))),
+        )
+        .select(*[c for c in df.columns if c != "distance"], "distance")
     )
 
 
-def check_centres(df: DataFrame, centres: DataFrame, cluster: str, vector: str) -> None:
-    """Refuse centres that are too many to be held in every task that reads ``df``."""
-    sample = df.select(F.size(vector)).first()
-    width = max(sample[0] if sample else 0, 1)
-    most = MAX_CENTRE_VALUES // width
-    if centres.select(cluster).limit(most + 1).count() > most:
-        raise ValueError(
-            f"more than {most} centres of {width} values: too large to hold in every task"
-        )
+def centre_blocks(df: DataFrame, centres: DataFrame, cluster: str, vector: str) -> int:
+    """In how many parts the centres have to be so that a task can hold one of them."""
+    width = df.agg(F.max(F.size(F.col(vector)))).first()[0] or 1
+    return -(-centres.count() * max(width, 1) // MAX_CENTRE_VALUES) or 1
 
 
 def collect_centres(centres: DataFrame, cluster: str = "cluster"):
-    """Ids and centres as arrays, ordered by id. Check their number before."""
-    rows = centres.select(cluster, "centre").orderBy(cluster).collect()
+    """Ids and centres as arrays, ordered by id. Their number is bounded by the caller."""
+    rows = centres.select(cluster, "centre").where(F.col("centre").isNotNull())
+    rows = rows.orderBy(cluster).collect()
     ids = np.array([r[cluster] for r in rows], dtype=np.int32)
     return ids, np.array([r["centre"] for r in rows], dtype=np.float64)
 
 
+def closest_of(vectors: np.ndarray, ids: np.ndarray, points: np.ndarray):
+    """Id and squared distance of the closest point of each vector; ties go to the lower id.
+
+    Products of matrices give all distances roughly; points that may be the closest within
+    the rounding error are measured exactly.
+    """
+    best_id = np.zeros(len(vectors), np.int32)
+    best = np.full(len(vectors), np.inf)
+    squares = (points**2).sum(1)
+    rows = max(1, _STEP_VALUES // max(len(points), 1))
+    for first in range(0, len(vectors), rows):
+        part = vectors[first : first + rows]
+        rough = squares - 2 * part @ points.T
+        size = (part**2).sum(1) + squares.max()
+        near, which = np.nonzero(rough <= (rough.min(1) + 1e-9 * size)[:, None])
+        exact = ((part[near] - points[which]) ** 2).sum(1)
+        order = np.lexsort([ids[which], exact, near])
+        row, at = np.unique(near[order], return_index=True)
+        best_id[first + row] = ids[which[order[at]]]
+        best[first + row] = exact[order[at]]
+    return best_id, best
+
+
 def nearest_centroid(
     df: DataFrame, centres: DataFrame, cluster: str = "cluster", vector: str = "vector"
 ) -> DataFrame:
     """Add ``cluster`` and squared ``distance`` of the closest of all centres.
 
-    Centres are few and checked, vectors are many: each Arrow batch of vectors meets
-    every centre in NumPy, and no pair of rows is ever formed.
+    Each Arrow batch of vectors meets every centre in NumPy, and no pair of rows is ever
+    formed. Centres that are too many for a task come in parts, one pass over the vectors
+    for each, and the best so far is kept. A vector that is NULL or holds a NULL or NaN has
+    no closest centre: both columns are NULL, as they are without any centre.
     """
-    check_centres(df, centres, cluster, vector)
-    ids, matrix = collect_centres(centres, cluster)
+    blocks = centre_blocks(df, centres, cluster, vector)
+    kept = [c for c in df.columns if c not in (cluster, "distance")]
+    found = df.select(*kept, F.lit(None).cast(_NEAR).alias("_near"))
+    for block in range(blocks):
+        mine = centres
+        if blocks > 1:
+            mine = centres.where(F.pmod(F.xxhash64(cluster), F.lit(blocks)) == block)
+        found = _nearer(found, *collect_centres(mine, cluster), vector)
+        if block + 1 < blocks:
+            found = stage(found, "nearest")
+    return found.select(
+        *kept,
+        F.col("_near.cluster").alias(cluster),
+        F.col("_near.distance").alias("distance"),
+    )
+
+
+_NEAR = "struct<cluster: int, distance: double>"
+# Distances held at a time while a batch meets its centres; this is 32 MB of doubles.
+_STEP_VALUES = 4_000_000
+
+
+def _nearer(df: DataFrame, ids: np.ndarray, matrix: np.ndarray, vector: str) -> DataFrame:
+    """Update ``_near`` where one of the given centres is closer."""
+    if not len(ids):
+        return df
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    @F.pandas_udf("cluster INT, distance DOUBLE")
+    @F.pandas_udf(_NEAR)
     def closest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, points = shared.value
         for batch in batches:
-            vectors = np.stack(batch.to_numpy()).astype(np.float64)
-            if vectors.shape[1] != points.shape[1]:
-                raise ValueError("vector and centre differ in length")
-            best = np.full(len(vectors), np.inf)
-            winner = np.zeros(len(vectors), dtype=np.int32)
-            for name, point in zip(known, points):
-                distance = ((vectors - point) ** 2).sum(axis=1)
-                closer = distance < best
-                best[closer] = distance[closer]
-                winner[closer] = name
-            yield pd.DataFrame({"cluster": winner, "distance": best})
-
-    found = df.withColumn("_near", closest(F.col(vector)))
-    return found.select(
-        *[c for c in df.columns if c not in (cluster, "distance")],
-        F.col("_near.cluster").alias(cluster),
-        F.col("_near.distance").alias("distance"),
+            usable = [
+                i
+                for i, v in enumerate(batch)
+                if v is not None and not np.isnan(np.asarray(v, np.float64)).any()
+            ]
+            name = pd.array([None] * len(batch), dtype="Int32")
+            distance = np.full(len(batch), np.nan)
+            if usable:
+                wanted = {len(batch.iloc[i]) for i in usable}
+                if wanted != {points.shape[1]}:
+                    raise ValueError("vector and centre differ in length")
+                vectors = np.stack([batch.iloc[i] for i in usable]).astype(np.float64)
+                name[usable], distance[usable] = closest_of(vectors, known, points)
+            yield pd.DataFrame({"cluster": name, "distance": distance})
+
+    new, old = F.col("_new"), F.col("_near")
+    closer = old.isNull() | (new["distance"] < old["distance"]) | (
+        (new["distance"] == old["distance"]) & (new["cluster"] < old["cluster"])
     )
+    measured = df.withColumn("_new", closest(F.col(vector)))
+    return measured.withColumn(
+        "_near", F.when(new["cluster"].isNotNull() & closer, new).otherwise(old)
+    ).drop("_new")
 
 
 def nearest_subcentre(
@@ -111,14 +168,13 @@ def nearest_subcentre(
 
     A cluster without subcentres leaves both NULL.
     """
-    check_centres(df, subcentres, cluster, vector)
     per_cluster = subcentres.groupBy(cluster).agg(
         # the few second-level centres of one node
         F.collect_list(F.struct(F.col(subcluster).alias("id"), "centre")).alias("_subs")
     )
     near = nearest_of(F.col(vector).cast("array<double>"), F.col("_subs"))
     return (
-        df.join(F.broadcast(per_cluster), cluster, "left")
+        df.join(small_side(per_cluster), cluster, "left")
         .withColumn("_near", near)
         .withColumn(subcluster, F.col("_near.id"))
         .withColumn("subdistance", F.col("_near.distance"))

@@ -247,7 +247,8 @@ def tfidf(
     words: str = "words",
 ) -> DataFrame:
     """``df`` with sparse ``tf`` and ``tfidf`` vectors."""
-    return fit_features(df, vocab_size, min_df, words).model(words).transform(df)
+    space = fit_features(df, vocab_size, min_df, words)
+    return space.model(words).transform(text.filled(df, words))
 
 
 def term_weights(
@@ -257,7 +258,7 @@ def term_weights(
     vector = F.unwrap_udt("tf")
     entries = (
         space.counter(words)
-        .transform(df.select(id_col, words))
+        .transform(text.filled(df.select(id_col, words), words))
         .select(
             id_col,
             F.inline(F.arrays_zip(vector["indices"], vector["values"])).alias("rank", "tf"),
@@ -281,5 +282,5 @@ def with_known_terms(
 
     Stored entries decide, not weights: a term of every document has weight 0 yet counts.
     """
-    counted = space.counter(words, "_tf").transform(df)
+    counted = space.counter(words, "_tf").transform(text.filled(df, words))
     return counted.where(F.size(F.unwrap_udt("_tf")["indices"]) > 0).drop("_tf")

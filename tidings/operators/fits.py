@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidings.functions import text
 from tidings.functions.vectors import squared_distance
 from tidings.operators.features import FeatureSpace, fit_features, fit_features_by_group
 from tidings.operators.labels import (
@@ -27,7 +28,8 @@ from tidings.operators.labels import (
     label_two_levels,
     topic_hierarchy_table,
 )
-from tidings.session import shuffle_width
+
+LAYOUT_PARTITIONS = 32
 
 # Stands for the first level among the nodes, which are numbered from 0.
 LEVEL1 = -1
@@ -82,8 +84,12 @@ class LevelModel:
 
 
 def lay_out(df: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
-    """The canonical layout of a fit's input: hashed by a unique key, sorted inside."""
-    width = partitions or shuffle_width(df.sparkSession)
+    """The canonical layout of a fit's input: hashed by a unique key, sorted inside.
+
+    The number of partitions is fixed, so that a fit does not depend on the session; set
+    ``partitions`` for more than some gigabytes of features.
+    """
+    width = partitions or LAYOUT_PARTITIONS
     return df.repartition(width, key).sortWithinPartitions(key)
 
 
@@ -118,7 +124,8 @@ def fit_space(
     if params.normalize:
         stages.append(Normalizer(inputCol="tfidf", outputCol="features", p=2.0))
     column = "features" if params.normalize else "tfidf"
-    vectors = PipelineModel(stages).transform(df.select(key, words)).select(key, column)
+    filled = text.filled(df.select(key, words), words)
+    vectors = PipelineModel(stages).transform(filled).select(key, column)
     features = lay_out(vectors, key, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         k = usable_k(features, column, params.k)
@@ -168,7 +175,8 @@ def assign(
     centres = df.sparkSession.createDataFrame(
         list(enumerate(model.centres)), "_cluster INT, _centre ARRAY<DOUBLE>"
     )
-    placed = model.pipeline.transform(df)
+    words = model.pipeline.stages[0].getInputCol()
+    placed = model.pipeline.transform(text.filled(df, words))
     # k rows
     met = placed.join(
         F.broadcast(centres), placed["_node"] == centres["_cluster"], "left"
@@ -242,7 +250,7 @@ def fit_hierarchy(
     first, second = params
     level1, placed = fit_level(df, first, key, words, partitions)
     placed.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/level1")
-    placed = spark.read.parquet(f"{path}/level1")
+    placed = spark.read.schema(placed.schema).parquet(f"{path}/level1")
     spaces = fit_features_by_group(
         placed, "cluster", second.vocab_size, second.min_df, words
     )
@@ -263,8 +271,11 @@ def fit_hierarchy(
     work = [LEVEL1, *clusters]
     level2 = dict(zip(work, in_parallel(spark, fit_node, work, threads)))
     del level2[LEVEL1]
-    assign_level2(placed, level2).write.mode("overwrite").parquet(f"{path}/assigned")
-    assigned = spark.read.parquet(f"{path}/assigned")
+    assigned = assign_level2(placed, level2)
+    assigned.write.mode("overwrite").partitionBy("cluster", "subcluster").parquet(
+        f"{path}/assigned"
+    )
+    assigned = spark.read.schema(assigned.schema).parquet(f"{path}/assigned")
 
     main, sub = label_two_levels(
         assigned, label_params(first), label_params(second), words=words

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tidings.functions import text
 from tidings.operators.features import FeatureSpace, fit_features, fit_features_by_group
 from tidings.operators.fits import in_parallel, lay_out
-from tidings.session import small_side
+from tidings.session import small_side, stage
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,8 @@ class LdaParams:
     seed: int = 17
 
 
+LEMMAS_IN_PLACE = 100_000
+
 # The defaults of the two levels, and of the variant with lemmas.
 LDA_LEVELS = (
     LdaParams(k=3, vocab_size=20),
@@ -50,10 +53,22 @@ def normalise_with_lemmas(
 
     ``lemmas`` maps ``form`` to ``lemma``; a token that is not listed is its own lemma.
     Lemmas of one or two letters and stop words go, the rest is lower-cased. Documents
-    without any token left keep an empty string.
+    without any token left keep an empty string, and so do those with NULL words. Of a form
+    with several lemmas the first in order counts. Every row of ``df`` gives a row.
+
+    A table of up to ``LEMMAS_IN_PLACE`` forms is broadcast as a dictionary: tokens are
+    looked up in their arrays and never leave their row. A larger one is joined token by
+    token.
     """
-    placed = df.select(key, F.posexplode_outer(words).alias("pos", "token"))
-    known = small_side(lemmas.select("form", "lemma").dropDuplicates(["form"]))
+    forms = lemmas.where(F.col("form").isNotNull()).groupBy("form").agg(F.min("lemma").alias("lemma"))
+    listed = forms.limit(LEMMAS_IN_PLACE + 1).collect()
+    if len(listed) <= LEMMAS_IN_PLACE:
+        found = {r["form"]: r["lemma"] for r in listed if r["lemma"] is not None}
+        return _lemmas_in_place(df, found, stop_words, key, words)
+    df = df.select(key, words).withColumn("_row", F.monotonically_increasing_id())
+    df = stage(df, "lemma-rows")  # row numbers must not change when a task is run again
+    placed = df.select("_row", key, F.posexplode_outer(words).alias("pos", "token"))
+    known = small_side(forms)
     lemma = F.coalesce(F.col("lemma"), F.col("token"))
     kept = (F.length(lemma) > 2) & ~lemma.isin(list(stop_words))
     ordered = F.array_sort(
@@ -62,8 +77,30 @@ def normalise_with_lemmas(
     )
     return (
         placed.join(known, placed["token"] == known["form"], "left")
-        .groupBy(key)
+        .groupBy("_row", key)
         .agg(F.array_join(F.transform(ordered, lambda t: t["word"]), " ").alias("content"))
+        .drop("_row")
+    )
+
+
+def _lemmas_in_place(
+    df: DataFrame, lemmas: dict[str, str], stop_words: Sequence[str], key: str, words: str
+) -> DataFrame:
+    filled = text.filled(df.select(key, words), words)
+    shared = df.sparkSession.sparkContext.broadcast(lemmas)
+
+    @F.pandas_udf("array<string>")
+    def looked_up(rows: pd.Series) -> pd.Series:
+        known = shared.value
+        return rows.map(lambda row: [known.get(w, w) for w in row])
+
+    found = looked_up(words)
+    listed = list(stop_words)
+    kept = F.filter(
+        "_found", lambda w: w.isNotNull() & (F.length(w) > 2) & ~w.isin(listed)
+    )
+    return filled.select(key, found.alias("_found")).select(
+        key, F.array_join(F.transform(kept, lambda w: F.lower(w)), " ").alias("content")
     )
 
 
@@ -99,7 +136,7 @@ class LdaLevel:
 
     def distributions(self, df: DataFrame, words: str = "words") -> DataFrame:
         """``df`` with the ``topic_dist`` array of each document."""
-        counted = self.space.counter(words, "_tf").transform(df)
+        counted = self.space.counter(words, "_tf").transform(text.filled(df, words))
         return (
             self.model.transform(counted)
             .withColumn("topic_dist", vector_to_array("topicDistribution"))
@@ -135,7 +172,8 @@ def fit_lda_space(
 ) -> LdaLevel:
     if not len(space):
         return LdaLevel(space, None, params)
-    counted = space.counter(words, "_tf").transform(df.select(key, words)).select(key, "_tf")
+    filled = text.filled(df.select(key, words), words)
+    counted = space.counter(words, "_tf").transform(filled).select(key, "_tf")
     features = lay_out(counted, key, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lda = LDA(k=params.k, maxIter=params.max_iter, seed=params.seed, featuresCol="_tf")

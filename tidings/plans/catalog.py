@@ -11,8 +11,10 @@ from tidings.functions import text
 from tidings.operators import clusters, features, fits, labels, lda, retention, word_maps
 from tidings.plans import jobs
 from tidings.session import spread, stage, work_dir
+from tidings.sources import readers, sinks
 from tidings.sources import replay as replays
-from tidings.sources.position import index_rows
+from tidings.sources.position import index_rows, positional_lines
+from tidings.streaming.maintain import StreamConfig, TopicMaintainer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,12 +249,11 @@ def _export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = _export_lines(spark, sf_dir)
-    label_rows = index_rows(lines.select("vec_id", "label_line"), "vec_id", column="id")
-    vector_rows = index_rows(lines.select("vec_id", "vector_line"), "vec_id", column="id")
+    """Both columns numbered in one go; each is a frame of its own afterwards."""
+    lines = index_rows(_export_lines(spark, sf_dir), "vec_id", column="id")
     return (
-        label_rows.select("id", text.strip_label("label_line").alias("labels")),
-        vector_rows.select("id", text.strip_vector("vector_line").alias("vectors")),
+        lines.select("id", text.strip_label("label_line").alias("labels")),
+        lines.select("id", text.strip_vector("vector_line").alias("vectors")),
     )
 
 
@@ -455,7 +456,9 @@ def cluster_cost(spark, sf_dir):
 
 @query
 def replay_slices(spark, sf_dir):
-    sliced = replays.slices(events(spark, sf_dir), "event_id", size=50)
+    # every column that is there is sorted and stored, so only the key is handed over
+    ids = events(spark, sf_dir).select("event_id")
+    sliced = replays.slices(ids, "event_id", size=50)
     return sliced.groupBy("slice").agg(
         F.count("*").alias("rows"),
         F.min("event_id").alias("min_id"),
@@ -465,7 +468,8 @@ def replay_slices(spark, sf_dir):
 
 @query
 def replay_peek(spark, sf_dir):
-    sliced = replays.slices(events(spark, sf_dir), "event_id", size=50, drop_tail=True)
+    shown = events(spark, sf_dir).select("event_id", "event_type", "value")
+    sliced = replays.slices(shown, "event_id", size=50, drop_tail=True)
     return replays.peek(sliced, "event_id", "event_type", "value")
 
 
@@ -488,8 +492,8 @@ def retain_newest(spark, sf_dir):
 @query
 def union_slots(spark, sf_dir):
     held = _state(spark, sf_dir)
-    container = held.where(F.col("cluster") == "error").withColumn("slot", F.lit("global"))
-    stored = held.where(F.col("cluster") != "error").withColumn("slot", F.lit("warehouse"))
+    container = held.where(F.col("cluster").eqNullSafe("error")).withColumn("slot", F.lit("global"))
+    stored = held.where(~F.col("cluster").eqNullSafe("error")).withColumn("slot", F.lit("warehouse"))
     again = container.withColumn("slot", F.lit("boot"))
     state = retention.append(container, stored, again)
     return retention.merge_slots(state, "global", "warehouse").select("event_id", "slot")
@@ -671,3 +675,223 @@ def inspect_export(spark, sf_dir):
     docs = stage(words(spark, sf_dir), "words")
     _, maps = jobs.inspect(docs, work_dir(spark, "inspect"), word_params=params)
     return maps.select("level", "cluster", "subcluster", "word", "x", "y")
+
+
+# -- what holds for every fit, and round trips through files ---------------------------
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as arrays, every seventh NULL and every eleventh with a NaN."""
+    values = F.col("embedding").cast("array<double>")
+    broken = F.transform(
+        values, lambda v, i: F.when(i == 0, F.lit(float("nan"))).otherwise(v)
+    )
+    return embeddings(spark, sf_dir).select(
+        "vec_id",
+        "label",
+        F.when(F.col("vec_id") % 7 != 0, F.when(F.col("vec_id") % 11 == 0, broken).otherwise(values))
+        .alias("vector"),
+    )
+
+
+@query
+def assign_with_gaps(spark, sf_dir):
+    """Nearest centres of vectors some of which are NULL or NaN, and own distances."""
+    means = clusters.centroids(embeddings(spark, sf_dir), "label")
+    centres = stage(means.withColumnRenamed("label", "cluster"), "centres")
+    near = clusters.nearest_centroid(_gaps(spark, sf_dir), centres)
+    unlisted = F.when(F.col("label") % 2 == 0, F.col("label"))
+    own = clusters.with_distance(
+        near.withColumnRenamed("distance", "least").withColumnRenamed("cluster", "nearest")
+        .withColumn("cluster", unlisted),
+        centres,
+    )
+    return own.select(
+        "vec_id",
+        F.col("nearest").cast("bigint").alias("nearest"),
+        F.when(~F.isnan("least"), F.round("least", 6)).alias("least"),
+        F.when(~F.isnan("distance"), F.round("distance", 6)).alias("own"),
+    )
+
+
+@query
+def words_with_gaps(spark, sf_dir):
+    """Documents by whether they hold a known term; every fifth text is NULL."""
+    holed = documents(spark, sf_dir).withColumn(
+        "text", F.when(F.col("doc_id") % 5 != 0, F.col("text"))
+    )
+    docs = stage(
+        text.with_words(holed, F.trim(text.clean_article("text")), text.DEFAULT_STOP_WORDS)
+        .select("doc_id", F.when(F.col("text").isNotNull(), F.col("words")).alias("words")),
+        "words",
+    )
+    model, placed = fits.fit_level(docs, fits.FIXED[0])
+    checks = {
+        "documents": F.countDistinct("doc_id"),
+        "without_words": F.count_if(F.size("words") == 0),
+        "without_cluster": F.count_if(F.col("cluster").isNull()),
+    }
+    return _measures(checks, placed)
+
+
+@query
+def adaptive_fit_invariants(spark, sf_dir):
+    """The adaptive fit: its vocabulary, and clusters of all documents."""
+    docs = stage(words(spark, sf_dir), "words")
+    model, placed = fits.fit_level(docs, fits.ADAPTIVE[0])
+    checks = {
+        "documents": F.countDistinct("doc_id"),
+        "terms": F.lit(len(model.pipeline.stages[0].vocabulary)),
+        "not_a_cluster": F.count_if(~F.col("cluster").between(0, len(model.centres) - 1)),
+        "negative_distance": F.count_if(F.col("distance") < 0),
+    }
+    return _measures(checks, placed)
+
+
+@query
+def lda_topic_invariants(spark, sf_dir):
+    """Topics of the fit: terms stand at their indices and weights descend."""
+    level = lda.fit_lda(_lda_words(spark, sf_dir))
+    terms = F.array(*[F.lit(t) for t in level.space.terms])
+    named = F.transform("termIndices", lambda i: F.get(terms, i))
+    falling = F.forall(
+        F.sequence(F.lit(1), F.size("termWeights") - 1),
+        lambda i: F.get("termWeights", i - 1) >= F.get("termWeights", i),
+    )
+    checks = {
+        "topics": F.count("*"),
+        "terms_listed": F.sum(F.size("terms")),
+        "other_terms": F.count_if(named != F.col("terms")),
+        "weights_rise": F.count_if(~falling),
+    }
+    return _measures(checks, level.topics())
+
+
+@query
+def lda_membership_invariants(spark, sf_dir):
+    """Memberships against the distributions they come from."""
+    docs = _lda_words(spark, sf_dir)
+    found = stage(lda.fit_lda(docs).distributions(docs).select("doc_id", "topic_dist"), "dist")
+    expected = found.select(
+        "doc_id", F.size(F.filter("topic_dist", lambda p: p >= 0.3)).alias("expected")
+    )
+    got = lda.membership(found, 0.3).groupBy("doc_id").agg(
+        F.count("*").alias("members"), F.min("probability").alias("least")
+    )
+    joined = expected.join(got, "doc_id", "left")
+    checks = {
+        "documents": F.count("*"),
+        "differ": F.count_if(F.col("expected") != F.coalesce("members", F.lit(0))),
+        "too_low": F.count_if(F.col("least") < 0.3),
+        "no_topic": F.count_if(F.col("members").isNull()),
+    }
+    return _measures(checks, joined)
+
+
+@query
+def lda_hierarchy_invariants(spark, sf_dir):
+    """Every topic is listed with its subtopics, and every list has its length."""
+    fitted = lda.fit_lda_hierarchy(_lda_words(spark, sf_dir), work_dir(spark, "lda"))
+    first, second = lda.LDA_LEVELS
+    checks = {
+        "topics": F.countDistinct("topic"),
+        "subtopics": F.count("subtopic"),
+        "short_topics": F.count_if(F.size(F.split("firstLevelTopic", " ")) != first.topic_length),
+        "short_subtopics": F.count_if(
+            F.size(F.split("secondLevelTopic", " ")) != second.topic_length
+        ),
+    }
+    return _measures(checks, fitted.topics)
+
+
+@query
+def pca_invariants(spark, sf_dir):
+    """Two components: uncorrelated, the first the wider, no more than all variance."""
+    placed = stage(pca2(spark, sf_dir), "pca")
+    spread_x, spread_y = F.var_samp("x"), F.var_samp("y")
+    values = _points(spark, sf_dir).select(F.posexplode("vector").alias("at", "v"))
+    total = values.groupBy("at").agg(F.var_samp("v").alias("s")).agg(F.sum("s")).first()[0]
+    checks = {
+        "rows": F.count("*"),
+        "correlated": F.when(
+            F.abs(F.covar_samp("x", "y")) > 1e-6 * (spread_x + spread_y), 1
+        ).otherwise(0),
+        "second_is_wider": F.when(spread_y > spread_x + 1e-9, 1).otherwise(0),
+        "too_wide": F.when(spread_x + spread_y > total * (1 + 1e-9), 1).otherwise(0),
+    }
+    return _measures(checks, placed)
+
+
+def _minutes_at() -> Column:
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return start + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+
+
+@query
+def line_scan(spark, sf_dir):
+    """Tagged lines written in time order and read back by position."""
+    path = work_dir(spark, "lines")
+    articles = documents(spark, sf_dir).select(
+        _minutes_at().alias("ts"),
+        F.col("source").alias("title"),
+        F.regexp_replace("text", r"[\s<>]+", " ").alias("content"),
+        F.col("doc_id").cast("string").alias("file_path"),
+    )
+    sinks.write_tagged(articles, path)
+    fields = text.tagged_fields(positional_lines(spark, path))
+    return fields.select("id", "timestamp", "title", F.length("content").alias("content_chars"))
+
+
+@query
+def export_scan(spark, sf_dir):
+    """Label and vector files written from the two-dimensional map and read by position."""
+    path = work_dir(spark, "export")
+    signs = pca2(spark, sf_dir).select(
+        F.concat(F.lit("w"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("word"),
+        F.col("vec_id").cast("double").alias("x"),
+        F.lit(0.5).alias("y"),
+    )
+    sinks.write_word_map_text(signs, path)
+    labels, vectors = readers.read_export(spark, f"{path}/labels", f"{path}/vectors")
+    return word_maps.join_by_position(labels, vectors)
+
+
+@query
+def vocabulary_sink(spark, sf_dir):
+    """The vocabulary of every source through its table, and as lines read back."""
+    path = work_dir(spark, "vocabulary")
+    found = QUERIES["vocabulary_by_group"](spark, sf_dir)
+    sinks.write_vocabulary(
+        found.select(
+            F.lit(1).alias("level"), F.col("source").alias("cluster"), "rank", "term"
+        ),
+        f"{path}/table",
+    )
+    stored = spark.read.parquet(f"{path}/table")
+    stored.select(F.concat(F.lit("["), "term", F.lit("]"))).write.text(f"{path}/lines")
+    lines = readers.read_vocabulary(spark, f"{path}/lines")
+    return lines.groupBy("term").agg(F.count("*").alias("groups"))
+
+
+@query
+def stream_conservation(spark, sf_dir):
+    """A topic stream over all documents in four batches: what does not depend on the fit."""
+    docs = stage(words(spark, sf_dir), "words")
+    sliced = replays.slices(docs, "doc_id", size=-(-docs.count() // 4))
+    sliced = stage(sliced, "slices")
+    config = StreamConfig(
+        level1=fits.FIXED[0], level2=fits.FIXED[1], threshold1=1e12, threshold2=1e12,
+        bootstrap=2, global_limit=1 << 40, local_limit=1 << 40, warehouse_limit=1 << 30,
+    )
+    maintainer = TopicMaintainer(spark, work_dir(spark, "stream"), config)
+    for batch_id in range(4):
+        maintainer.process(sliced.where(F.col("slice") == batch_id), batch_id)
+    store = maintainer.store
+    state = store.state(spark, store.in_force(spark, 4), 3, config.warehouse_limit)
+    checks = {
+        "documents": F.countDistinct("doc_id"),
+        "in_boot": F.count_if(F.col("slot") == "boot"),
+        "without_cluster": F.count_if(F.col("cluster").isNull()),
+        "first_fit": F.min("model_version"),
+    }
+    return _measures(checks, state)

@@ -412,4 +412,92 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'do_not_add_up', 0
     """,
     "word_vectors_words": f"WITH {_WORDS} SELECT DISTINCT term AS word FROM tok",
+    # fits that meet NULL and NaN input, and what holds for every fit
+    "assign_with_gaps": """
+        WITH parts AS (
+            SELECT vec_id, label, unnest(embedding)::DOUBLE AS v,
+                   generate_subscripts(embedding, 1) AS i FROM embeddings),
+        centres AS (SELECT label AS c, i, avg(v) AS m FROM parts GROUP BY label, i),
+        usable AS (SELECT * FROM parts WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0),
+        met AS (SELECT vec_id, label, c, sum((v - m) * (v - m)) AS d
+                FROM usable JOIN centres USING (i) GROUP BY vec_id, label, c),
+        best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS place FROM met)
+        SELECT e.vec_id, b.c::BIGINT AS nearest, round(b.d, 6) AS least, round(o.d, 6) AS own
+        FROM embeddings e
+        LEFT JOIN best b ON b.vec_id = e.vec_id AND b.place = 1
+        LEFT JOIN met o ON o.vec_id = e.vec_id AND o.c = e.label AND e.label % 2 = 0
+    """,
+    "words_with_gaps": f"""
+        WITH {_WORDS}
+        SELECT 'documents' AS measure, count(*) AS value FROM documents
+        UNION ALL SELECT 'without_words', count(*) FROM docs
+                  WHERE doc_id % 5 = 0 OR len(words) = 0
+        UNION ALL SELECT 'without_cluster', 0
+    """,
+    "adaptive_fit_invariants": f"""
+        WITH {_WORDS},
+        size AS (SELECT count(*) // 5 AS lowest,
+                        floor(avg(len(list_distinct(words)))) AS v FROM docs),
+        counts AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term)
+        SELECT 'documents' AS measure, count(*) AS value FROM documents
+        UNION ALL SELECT 'terms', least(
+            (SELECT count(*) FROM counts, size WHERE df >= lowest), (SELECT v FROM size))::BIGINT
+        UNION ALL SELECT 'not_a_cluster', 0
+        UNION ALL SELECT 'negative_distance', 0
+    """,
+    "lda_topic_invariants": """
+        SELECT 'topics' AS measure, 3 AS value
+        UNION ALL SELECT 'terms_listed', 9
+        UNION ALL SELECT 'other_terms', 0
+        UNION ALL SELECT 'weights_rise', 0
+    """,
+    "lda_membership_invariants": f"""
+        WITH {_LDA},
+        split AS (SELECT doc_id, {_split('c')} AS w FROM cleaned),
+        tok AS (SELECT doc_id, unnest(w) AS term FROM split),
+        kept AS (SELECT * FROM tok WHERE term NOT IN ({_STOP})),
+        vocab AS (SELECT term FROM kept GROUP BY term ORDER BY count(*) DESC, term LIMIT 20),
+        known AS (SELECT DISTINCT doc_id FROM kept WHERE term IN (SELECT term FROM vocab))
+        SELECT 'documents' AS measure, count(*) AS value FROM documents
+        UNION ALL SELECT 'differ', 0
+        UNION ALL SELECT 'too_low', 0
+        UNION ALL SELECT 'no_topic', count(*) FROM documents
+                  WHERE doc_id NOT IN (SELECT doc_id FROM known)
+    """,
+    "lda_hierarchy_invariants": """
+        SELECT 'topics' AS measure, 3 AS value
+        UNION ALL SELECT 'subtopics', 6
+        UNION ALL SELECT 'short_topics', 0
+        UNION ALL SELECT 'short_subtopics', 0
+    """,
+    "pca_invariants": """
+        SELECT 'rows' AS measure, count(*) AS value FROM embeddings
+        UNION ALL SELECT 'correlated', 0
+        UNION ALL SELECT 'second_is_wider', 0
+        UNION ALL SELECT 'too_wide', 0
+    """,
+    # files written and read back
+    "line_scan": rf"""
+        SELECT row_number() OVER (ORDER BY {_STAMP}, doc_id) - 1 AS id,
+               strftime({_STAMP}, '%Y-%m-%d %H:%M:%S') AS timestamp,
+               source AS title,
+               length(trim(regexp_replace(text, '[\s<>]+', ' ', 'g'))) AS content_chars
+        FROM documents
+    """,
+    "export_scan": """
+        SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id,
+               'w' || lpad(vec_id::VARCHAR, 12, '0') AS labels,
+               vec_id::VARCHAR || '.0,0.5' AS vectors
+        FROM embeddings
+    """,
+    "stream_conservation": """
+        SELECT 'documents' AS measure, count(*) AS value FROM documents
+        UNION ALL SELECT 'in_boot', 0
+        UNION ALL SELECT 'without_cluster', 0
+        UNION ALL SELECT 'first_fit', 0
+    """,
 }
+
+ORACLES["vocabulary_sink"] = (
+    f"SELECT term, count(*) AS groups FROM ({ORACLES['vocabulary_by_group']}) GROUP BY term"
+)

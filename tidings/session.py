@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "tidings", **conf: str) -> SparkSession:
@@ -86,12 +87,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only once it is known to have at most ``max_rows`` rows.
+def small_side(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Broadcast ``df`` only once it is known to be small in rows and in bytes.
 
-    Above the bound the frame goes back unhinted and the join is left to Spark, which
-    shuffles both sides and splits skewed partitions at run time.
+    The frame is evaluated once, into the shared folder, and measured there. Above a bound
+    it goes back unhinted and the join is left to Spark, which shuffles both sides and
+    splits skewed partitions at run time.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
+    stored = stage(df, "small")
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, held = stored.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    if rows > max_rows or (held or 0) > max_bytes:
+        return stored
+    return F.broadcast(stored)

@@ -44,6 +44,23 @@ def write_slices(sliced: DataFrame, path: str) -> None:
     )
 
 
+_HANDED_OVER = "batch_id BIGINT, last BIGINT"
+
+
+def _handed_over(spark: SparkSession, state: str, batch_id: int) -> int:
+    """The last slice that batches before ``batch_id`` have handed over, or -1."""
+    empty = spark.createDataFrame([], _HANDED_OVER)
+    empty.coalesce(1).write.mode("ignore").parquet(f"{state}/start")
+    marks = (
+        spark.read.schema(_HANDED_OVER)
+        .option("recursiveFileLookup", "true")
+        .parquet(state)
+        .where(F.col("batch_id") < batch_id)
+    )
+    last = marks.agg(F.max("last")).first()[0]
+    return -1 if last is None else last
+
+
 def replay(
     spark: SparkSession,
     path: str,
@@ -55,16 +72,25 @@ def replay(
     """Hand the stored slices to ``batch`` in order, some at each trigger.
 
     A counting stream names the slices of a micro-batch; its checkpoint makes a restart
-    resume where the last run stopped. Past the last slice ``batch`` is not called.
+    resume where the last run stopped. Slices stored later are handed over as well: a tick
+    that finds nothing new is made up for by the next that does. ``batch`` is called with
+    the slices between the last one handed over and the number of ticks so far.
     """
-    last = spark.read.parquet(path).agg(F.max("slice")).first()[0]
-    last = -1 if last is None else last
+    state = f"{checkpoint.rstrip('/')}/handed-over"
 
     def run(ticks: DataFrame, batch_id: int) -> None:
-        low, high = ticks.agg(F.min("value"), F.max("value")).first()
-        if low is not None and low <= last:
-            rows = ticks.sparkSession.read.parquet(path)
-            batch(rows.where(F.col("slice").between(low, high)), batch_id)
+        session = ticks.sparkSession
+        high = ticks.agg(F.max("value")).first()[0]
+        if high is None:
+            return
+        done = _handed_over(session, state, batch_id)
+        rows = session.read.parquet(path).where(F.col("slice").between(done + 1, high))
+        last = rows.agg(F.max("slice")).first()[0]
+        if last is None:
+            return
+        batch(rows.where(F.col("slice") <= last), batch_id)
+        mark = session.createDataFrame([(batch_id, last)], _HANDED_OVER)
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     ticks = (
         spark.readStream.format("rate-micro-batch")

@@ -61,6 +61,8 @@ class TopicMaintainer:
         self.store = TopicStore(spark, path)
         self.config = config
         self._next: tuple[int, InForce] | None = None
+        # documents that the last fit to be tried could not divide, while none has since
+        self._undivided = 0
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Route one batch, refit what has to be refitted, publish the outcome."""
@@ -92,10 +94,12 @@ class TopicMaintainer:
         )
         self.store.write_state(boot, force.generation, batch_id)
         held = self.store.rows(spark, force, batch_id)
-        if held.count() < self.config.bootstrap:
+        documents = held.count()
+        if documents < self.config.bootstrap + self._undivided:
             return force
         changed = self._refit_all(spark, held, held, batch_id)
         if not changed:
+            self._undivided = documents
             return force
         force, rows = changed
         self.store.commit(spark, batch_id, rows)
@@ -111,7 +115,8 @@ class TopicMaintainer:
 
         rows: list[tuple] = []
         counts = self._counts(spark, force, batch_id)
-        if counts.get(("global", None), 0) >= config.global_limit:
+        novel = counts.get(("global", None), 0)
+        if novel >= config.global_limit + self._undivided:
             state = self._state(spark, force, batch_id)
             training = retention.merge_slots(state, "global", "warehouse")
             changed = self._refit_all(
@@ -121,6 +126,8 @@ class TopicMaintainer:
                 force, fitted = changed
                 rows += fitted
                 counts = self._counts(spark, force, batch_id)
+            else:  # try again once as many documents as the limit have come in
+                self._undivided = novel
 
         for node in sorted(force.nodes):
             if counts.get(("local", node), 0) >= config.local_limit:
@@ -201,6 +208,7 @@ class TopicMaintainer:
         )
         if fitted.level1.pipeline is None:
             return None
+        self._undivided = 0
         again = (
             assign(retained, fitted.level1)
             .withColumn(
