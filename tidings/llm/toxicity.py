@@ -10,6 +10,8 @@ sample of labelled rows; scoring runs in Arrow batches over all rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,8 @@ BUCKETS, WIDTH, UNITS = 1 << 14, 8, 8
 #: Lengths of character n-grams, in bytes, word boundaries included.
 GRAMS = (3, 5)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
+#: Steps that a small sample is trained for, over at most so many epochs.
+STEPS, MOST_EPOCHS = 150, 40
 _WORD = byte_class(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -41,7 +45,48 @@ _WORD = byte_class(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
 
 
 class Words:
-    """Words of a column of lower-case texts: embedding rows of each and of its n-grams."""
+    """Words of a column of lower-case texts: embedding rows of each and of its n-grams.
+
+    Row ``i`` has the words ``first[i]:first[i + 1]``, word ``w`` the n-grams
+    ``begin[w]:begin[w + 1]``.
+    """
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        """The words of many texts, taken in parts, as the way there needs much memory."""
+        parts, part, held = [], [], 0
+        for text in [*texts, None]:
+            if part and (text is None or held > 1 << 19):
+                parts.append(cls(pa.array(part, pa.string())))
+                part, held = [], 0
+            if text is not None:
+                part.append(text)
+                held += len(text)
+        whole = cls(pa.array([], pa.string()))
+        if parts:
+            whole.word = np.concatenate([p.word for p in parts])
+            whole.grams = [np.concatenate(g) for g in zip(*(p.grams for p in parts))]
+            whole.first = _chained([p.first for p in parts])
+            whole.begin = _chained([p.begin for p in parts])
+        return whole
+
+    def part(self, low: int, high: int) -> Words:
+        """The words of rows ``low`` to ``high``, that one left out."""
+        a, b = self.first[low], self.first[high]
+        part = object.__new__(Words)
+        part.word, part.first = self.word[a:b], self.first[low : high + 1] - a
+        part.begin = self.begin[a : b + 1] - self.begin[a]
+        part.grams = [g[self.begin[a] : self.begin[b]] for g in self.grams]
+        return part
+
+    def parts(self) -> Iterator[tuple[int, Words]]:
+        """Parts of some ten thousand words, or one longer row, each with its first row."""
+        low = 0
+        while low < len(self.first) - 1:
+            high = int(np.searchsorted(self.first, self.first[low] + 50_000, side="right")) - 1
+            high = min(max(high, low + 1), len(self.first) - 1)
+            yield low, self.part(low, high)
+            low = high
 
     def __init__(self, column: pa.Array):
         data, offsets = text_bytes(column)
@@ -62,7 +107,7 @@ class Words:
                     c = np.where(at + k <= last, padded[np.minimum(at + k, len(padded) - 1)], 0)
                     c = np.where((k == 0) & (at == np.repeat(starts, spans)), 0, c)
                     value = value * np.uint64(0x100000001B3) ^ c.astype(np.uint64)
-                self.grams.append((mix(value) % np.uint64(BUCKETS)).astype(np.int32))
+                self.grams.append((mix(value) % np.uint64(BUCKETS)).astype(np.int16))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word and number of words of every window, and the row it belongs to."""
@@ -74,6 +119,12 @@ class Words:
         return start, np.minimum(self.first[1:][row] - start, WINDOW), row
 
 
+def _chained(offsets: list[np.ndarray]) -> np.ndarray:
+    """Offsets of lists that are put one behind the other."""
+    ends = np.cumsum([0, *(o[-1] for o in offsets)])
+    return np.concatenate([[0], *(o[1:] + end for o, end in zip(offsets, ends))])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -193,15 +244,13 @@ class Network:
 
     def window_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all windows, and the row of each."""
-        start, size, row = words.windows()
-        if len(row) == 0:
-            return np.zeros(0, np.float32), row
-        x = self.inputs(words)
-        found = [
-            self.scores(*_cut(x, start[i : i + 4096], size[i : i + 4096]))
-            for i in range(0, len(row), 4096)
-        ]
-        return np.concatenate(found), row
+        found, rows = [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+        for low, part in words.parts():
+            start, size, row = part.windows()
+            if len(row):
+                found.append(self.scores(*_cut(self.inputs(part), start, size)))
+                rows.append(row + low)
+        return np.concatenate(found), np.concatenate(rows)
 
     def highest(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Highest logit of every row, and its number of windows (0: no words)."""
@@ -276,20 +325,22 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, seed: int = 7)
     if len(texts) < 10 or labels.min() == labels.max():
         return network
     held = np.arange(len(texts)) % 5 == 0
-    words = Words(pa.array([t for t, h in zip(texts, held) if not h], pa.string()))
+    words = Words.of([t for t, h in zip(texts, held) if not h])
     own = labels[~held]
     start, size, row = words.windows()
     rng, adam = np.random.default_rng(seed), _Adam(network.p)
     used = np.arange(len(row))
-    for epoch in range(EPOCHS):
+    later = max(1, len(row) // (3 * BATCH))  # steps of an epoch after the first
+    epochs = min(MOST_EPOCHS, max(EPOCHS, STEPS // later))
+    for epoch in range(epochs):
         if epoch:
             used = _telling(network, words)
         rng.shuffle(used)
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for i in range(0, len(used), BATCH):
             batch = used[i : i + BATCH]
             _learn(network, adam, words, start[batch], size[batch], own[row[batch]], rate)
-    rest = Words(pa.array([t for t, h in zip(texts, held) if h], pa.string()))
+    rest = Words.of([t for t, h in zip(texts, held) if h])
     network.calibration = _calibrate(network, rest, labels[held], base_rate)
     return network
 
