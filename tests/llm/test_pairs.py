@@ -149,6 +149,19 @@ def test_tree_leaves_out_nothing_that_links():
     assert linked and linked <= found and len(found) < len(sets) ** 2 / 4
     wide = shingle_join.count_vector(np.full(300, 5, np.uint64))
     assert shingle_join.unpacked(wide).max() == 300
+    assert {len(shingle_join.unpacked(p)) for p in points} == {128}
+
+
+def test_points_of_neighbouring_lengths_meet():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    sets = [np.unique(base[:505]), np.unique(base[:520])] + [
+        np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (505, 515, 530, 3000)
+    ]
+    points = [shingle_join.count_vector(s) for s in sets]
+    assert [len(shingle_join.unpacked(p)) for p in points] == [128, 256, 128, 256, 256, 1024]
+    assert [frozenset(p) for p in shingle_join.candidates(points, np.arange(6))] == [{0, 1}]
+    assert shingle_join.may_link(points[0], points[1])
 
 
 def test_groups_of_a_long_path(spark):

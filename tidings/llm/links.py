@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidings.session import stage
 
+Candidates = Callable[[list, np.ndarray], Iterator[tuple[int, int]]]
+
 #: Items of a key that one task compares at a time; a larger key is cut in blocks, and
 #: every two blocks meet in a task.
 BLOCK = 2048
@@ -28,9 +30,11 @@ BLOCK = 2048
 def shared_keys(postings: DataFrame) -> DataFrame:
     """``key, id`` for keys that hold at least two different items.
 
-    ``postings`` has ``key, same, id``; rows of a key with equal ``same`` are copies, of
-    which the smallest ``id`` stands for all.
+    ``postings`` has ``key, id`` and may have ``same``; rows of a key with equal ``same``
+    are copies, of which the smallest ``id`` stands for all.
     """
+    if "same" not in postings.columns:
+        postings = postings.withColumn("same", F.col("id"))
     order = W.partitionBy("key").orderBy("same", "id")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ranked = postings.select(
@@ -123,14 +127,15 @@ def across(
     shared: DataFrame,
     labels: DataFrame,
     items: DataFrame,
-    candidates: Callable[[list[bytes], np.ndarray], Iterator[tuple[int, int]]],
-    similar: Callable[[bytes, bytes], bool],
+    candidates: Candidates,
+    similar: Callable[[bytes, bytes], bool] | None,
 ) -> DataFrame:
     """Links between items of a key that are in different groups so far.
 
     ``candidates`` gets the contents of the items of a task and their groups, and yields
     the pairs that may be similar. A pair is compared unless earlier links of the task
-    already join its groups. Keys of more than ``BLOCK`` items are compared block by block.
+    already join its groups; without ``similar`` all candidates are returned, each once.
+    Keys of more than ``BLOCK`` items are compared block by block.
     """
     known = labels.withColumnRenamed("component", "group")
     labelled = shared.join(known, "id", "left").withColumn("group", F.coalesce("group", "id"))
@@ -175,10 +180,13 @@ def across(
 
     batch_type = pa.int64() if kind == "bigint" else pa.string()
     sorted_rows = spread.repartition("key", "met").sortWithinPartitions("key", "met")
-    return sorted_rows.select(
+    found = sorted_rows.select(
         "key", F.col("met.low").alias("low"), F.col("met.high").alias("high"),
         "id", "group", "content",
     ).mapInArrow(search, f"id {kind}, other {kind}")
+    return found if similar else found.select(
+        F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")
+    ).distinct()
 
 
 def _links(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -215,8 +223,10 @@ def _search(rows: list[tuple], candidates, similar) -> list[tuple]:
     if len(top) < 2:  # of all blocks of a key, these two may hold one group only
         return []
     found = []
-    pairs = [(0, 1)] if len(rows) == 2 else candidates(contents, np.array(own))
-    for i, j in pairs:
+    for i, j in candidates(list(contents), np.array(own)):
+        if similar is None:
+            found.append((ids[i], ids[j]))
+            continue
         a, b = root(own[i]), root(own[j])
         if a != b and similar(contents[i], contents[j]):
             top[a] = b
@@ -226,17 +236,34 @@ def _search(rows: list[tuple], candidates, similar) -> list[tuple]:
 
 def linked_groups(
     shared: DataFrame,
-    items: DataFrame,
-    candidates: Callable[[list[bytes], np.ndarray], Iterator[tuple[int, int]]],
+    contents: Callable[[DataFrame], DataFrame],
+    candidates: Candidates,
     similar: Callable[[bytes, bytes], bool],
+    points: DataFrame | None = None,
+    bound: Callable[[bytes, bytes], bool] | None = None,
 ) -> DataFrame:
     """``id, component`` of all items with a similar one; see the head of this module.
 
-    ``shared`` and ``items`` are read several times, so they should be stored tables.
+    ``contents`` gives ``id, content`` of at least the items in a frame of ``id``. With
+    ``points``, a small ``id, content`` of all items, and ``bound``, which tells from two
+    points whether their items may be similar, only contents of pairs that pass are
+    fetched. ``shared`` and ``points`` are read several times and should be stored tables.
     """
-    first = stage(verified(centres(shared), items, similar), "links")
+    pairs = centres(shared)
+    if points is not None:
+        pairs = stage(verified(pairs, points, bound), "likely")
+    first = stage(verified(pairs, contents(_members(pairs)), similar), "links")
     labels = groups(first)
-    second = stage(across(shared, labels, items, candidates, similar), "links")
+    if points is None:
+        second = across(shared, labels, contents(shared.select("id")), candidates, similar)
+    else:
+        pairs = stage(across(shared, labels, points, candidates, None), "likely")
+        second = verified(pairs, contents(_members(pairs)), similar)
+    second = stage(second, "links")
     if second.isEmpty():
         return labels
     return groups(first.union(second))
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select("id").union(pairs.select(F.col("other").alias("id"))).distinct()

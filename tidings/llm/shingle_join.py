@@ -39,8 +39,8 @@ from tidings.session import small_side, stage
 WIDTH = 5
 #: Pairs link when ``100 * shared >= PERCENT * all``.
 PERCENT = 80
-#: Coordinates of a count vector.
-GROUPS = 64
+#: Fewest coordinates of a count vector, and shingles that a coordinate stands for at most.
+GROUPS, GROUP_SIZE = 128, 4
 #: Entries of a tree node.
 NODE = 16
 #: Shingles in more rows than this may go to the end of the order, the most frequent
@@ -154,17 +154,50 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in found.collect()], np.int64).view(np.uint64)
 
 
-def contents(docs: DataFrame) -> DataFrame:
-    """``id, content``: the sorted set as bytes."""
+def sets_of(docs: DataFrame, whole: bool) -> DataFrame:
+    """``id, point`` with packed count vectors, and if ``whole`` ``content``, the sorted sets.
+
+    Of rows with the same id the one with the smallest vector counts.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets, pa.binary())], ["id", "content"]
-        )
+        sets = list(shingle_sets(batch.column(1)))
+        columns = [batch.column(0), pa.array([count_vector(s) for s in sets], pa.binary())]
+        names = ["id", "point"]
+        if whole:
+            columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
+            names.append("content")
+        return pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_blocks(docs, f"id {kind}, content binary", run)
+    found = map_blocks(docs, f"id {kind}, point binary" + ", content binary" * whole, run)
+    kept = F.struct("point", "content") if whole else F.struct("point")
+    return found.groupBy("id").agg(F.min(kept).alias("least")).select("id", "least.*")
+
+
+def count_vector(tokens: np.ndarray) -> bytes:
+    """Shingles per group, the number of groups following the size of the set.
+
+    A group holds some four shingles: with many more of them, unlike sets would have like
+    counts. A first byte tells how many bytes a count takes.
+    """
+    groups = GROUPS
+    while groups * GROUP_SIZE < len(tokens):
+        groups *= 2
+    place = (tokens >> np.uint64(17)).astype(np.int64) & (groups - 1)
+    counts = np.bincount(place, minlength=groups)
+    kind = np.uint8 if counts.max() < 256 else np.uint32
+    return bytes([kind().itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpacked(point: bytes) -> np.ndarray:
+    kind = np.uint8 if point[0] == 1 else np.uint32
+    return np.frombuffer(point, kind, offset=1).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts in fewer groups; numbers of groups are powers of two."""
+    return point.reshape(-1, groups).sum(0)
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -176,18 +209,17 @@ def similar(a: bytes, b: bytes) -> bool:
 
 
 class CountTree:
-    """An R-tree over the count vectors of a task's sets, packed by size and counts."""
-
-    def __init__(self, sets: list[bytes], own: np.ndarray):
-        self.size = np.array([len(s) // 8 for s in sets], np.int64)
-        self.points = np.stack(
-            [np.bincount((np.frombuffer(s, np.uint64) >> np.uint64(17)).astype(np.int64) % GROUPS,
-                         minlength=GROUPS) for s in sets]
-        ).astype(np.int32)
-        self.own = own
+    """An R-tree over count vectors of one length, packed by size and counts.
+
+    ``names`` are the numbers of the sets and ``own`` their groups so far.
+    """
+
+    def __init__(self, points: np.ndarray, names: np.ndarray, own: np.ndarray):
+        self.points, self.names, self.own = points, names, own
+        self.size = points.sum(1, dtype=np.int64)
         # neighbours in this order have like sizes and like counts
         self.order = np.lexsort([*self.points.T[:4][::-1], self.size])
-        level = [self._leaf(self.order[i : i + NODE]) for i in range(0, len(sets), NODE)]
+        level = [self._leaf(self.order[i : i + NODE]) for i in range(0, len(points), NODE)]
         while len(level) > 1:
             level = [self._node(level[i : i + NODE]) for i in range(0, len(level), NODE)]
         self.root = level[0] if level else None
@@ -212,9 +244,9 @@ class CountTree:
             "group": group if all(c["group"] == group for c in children) else None,
         }
 
-    def search(self, i: int) -> Iterator[int]:
-        """Sets of other groups that may link with set ``i``."""
-        point, size, group = self.points[i], self.size[i], self.own[i]
+    def search(self, point: np.ndarray, group) -> Iterator[int]:
+        """Sets of other groups than ``group`` that may link with one of these counts."""
+        size = point.sum(dtype=np.int64)
         todo = [self.root]
         while todo:
             node = todo.pop()
@@ -232,14 +264,39 @@ class CountTree:
             rows = node["rows"]
             bound = np.minimum(point, self.points[rows]).sum(1)
             fits = (100 + PERCENT) * bound >= PERCENT * (size + self.size[rows])
-            yield from rows[fits & (self.own[rows] != group)].tolist()
+            yield from self.names[rows[fits & (self.own[rows] != group)]].tolist()
+
+
+def may_link(a: bytes, b: bytes) -> bool:
+    """The bound of a tree on a single pair of points."""
+    x, y = unpacked(a), unpacked(b)
+    groups = min(len(x), len(y))
+    shared = np.minimum(folded(x, groups), folded(y, groups)).sum()
+    return (100 + PERCENT) * shared >= PERCENT * (x.sum() + y.sum())
 
 
-def candidates(sets: list[bytes], own: np.ndarray) -> Iterator[tuple[int, int]]:
-    tree = CountTree(sets, own)
-    for i in tree.order.tolist():
-        for j in tree.search(i):
-            if i < j:
+def candidates(points: list[bytes], own: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of different groups whose bound allows a link.
+
+    A tree holds the points of one length. Points of twice the length are folded to look
+    in it; longer ones have more than twice the shingles and link with none of it.
+    """
+    if len(points) == 2:  # a tree of one pair is the pair
+        if may_link(*points):
+            yield 0, 1
+        return
+    by_length: dict[int, list[int]] = {}
+    vectors = [unpacked(p) for p in points]
+    for i, v in enumerate(vectors):
+        by_length.setdefault(len(v), []).append(i)
+    for groups, names in by_length.items():
+        tree = CountTree(np.stack([vectors[i] for i in names]), np.array(names), own[names])
+        for i in names:
+            for j in tree.search(vectors[i], own[i]):
+                if i < j:
+                    yield i, j
+        for i in by_length.get(2 * groups, ()):
+            for j in tree.search(folded(vectors[i], groups), own[i]):
                 yield i, j
 
 
@@ -249,7 +306,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     NULL, empty and blank texts have no shingles and link with nothing. Rows that repeat a
     key or a text get a row each, and rows of equal sets are linked. Keys are integers; a
     row with a NULL key links with nothing. If rows give a key different texts, its links are
-    those of the smallest. Other columns are not read. Rare
+    those of the one with the smallest count vector. Other columns are not read. Rare
     accidents aside (equal 64-bit hashes), links are exact.
     """
     read = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
@@ -261,19 +318,25 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     common = common_shingles(read)
     shared = stage(shared_keys(prefixes(read.where("id is not null"), common)), "shared")
-    wanted = small_side(shared.select("id").distinct())
-    items = stage(
-        contents(
-            read.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        ),
-        "sets",
+    named = read.where("id is not null")
+
+    def held(ids: DataFrame, whole: bool) -> DataFrame:
+        return sets_of(named.join(small_side(ids), "id", "left_semi"), whole)
+
+    points = stage(held(shared.select("id").distinct(), False), "points")
+    labels = linked_groups(
+        shared,
+        lambda ids: held(ids, True).select("id", "content"),
+        candidates,
+        similar,
+        points.select("id", F.col("point").alias("content")),
+        may_link,
     )
-    labels = linked_groups(shared, items, candidates, similar)
-    named = (
+    placed = (
         classes.join(labels.withColumnRenamed("id", "first"), "first", "left")
         .select("n", "a", "b", F.coalesce("component", "first").alias("component"))
     )
-    return rows.join(named, ["n", "a", "b"], "left").select(
+    return rows.join(placed, ["n", "a", "b"], "left").select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
