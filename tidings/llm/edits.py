@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def masks(pattern: str) -> dict[str, int]:
     """For each character the bits of the positions where it stands."""
@@ -44,6 +46,18 @@ def best_end(positions: dict[str, int], length: int, text: str) -> tuple[int, in
     return best, end
 
 
+def within(a: str, b: str, budget: int) -> bool:
+    """Whether the Levenshtein distance is at most ``budget``."""
+    if not a or not b:
+        return len(a) + len(b) <= budget
+    left = len(b)
+    for score in _columns(masks(a), len(a), b, True):
+        left -= 1
+        if score - left > budget:  # each character left can take off one at most
+            return False
+    return score <= budget
+
+
 def distance(a: str, b: str) -> int:
     """Levenshtein distance."""
     if not a or not b:
@@ -54,14 +68,34 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+#: Buckets that pairs of neighbouring characters are counted in.
+PROFILE = 512
+
+
+def profile(text: str) -> np.ndarray:
+    """Counts of pairs of neighbouring characters, hashed to ``PROFILE`` buckets."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.bincount((codes[:-1] * 31 + codes[1:]) % PROFILE, minlength=PROFILE)
+
+
+def budget_of(longer: int, least: float) -> int:
+    """Errors that a similarity of ``least`` allows the longer text."""
+    return int((1 - least) * longer + 1e-9)
+
+
 def similar(a: str, b: str, least: float) -> bool:
-    """Whether the distance is at most ``1 - least`` of the longer text."""
+    """Whether the distance is at most ``1 - least`` of the longer text.
+
+    An edit changes at most two pairs of neighbours on either side, so texts whose profiles
+    differ by more than four times the budget are not compared.
+    """
     if a == b:
         return True
-    longer = max(len(a), len(b))
-    budget = int((1 - least) * longer + 1e-9)
+    budget = budget_of(max(len(a), len(b)), least)
     if abs(len(a) - len(b)) > budget:
         return False
+    if np.abs(profile(a) - profile(b)).sum() > 4 * budget:
+        return False
     start = 0
     for x, y in zip(a, b):  # a common start or end needs no comparison
         if x != y:
@@ -74,4 +108,4 @@ def similar(a: str, b: str, least: float) -> bool:
             break
         end += 1
     a, b = a[: len(a) - end], b[: len(b) - end]
-    return distance(a, b) <= budget
+    return within(a, b, budget)
