@@ -29,7 +29,7 @@ from tidings.operators.labels import (
     topic_hierarchy_table,
 )
 
-LAYOUT_PARTITIONS = 32
+LAYOUT_PARTITIONS = 16
 
 # Stands for the first level among the nodes, which are numbered from 0.
 LEVEL1 = -1
