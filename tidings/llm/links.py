@@ -129,12 +129,14 @@ def across(
     items: DataFrame,
     candidates: Candidates,
     similar: Callable[[bytes, bytes], bool] | None,
+    members: bool = False,
 ) -> DataFrame:
     """Links between items of a key that are in different groups so far.
 
     ``candidates`` gets the contents of the items of a task and their groups, and yields
     the pairs that may be similar. A pair is compared unless earlier links of the task
-    already join its groups; without ``similar`` all candidates are returned, each once.
+    already join its groups; without ``similar`` all candidates are returned, each once, or
+    with ``members`` each item that has one, beside itself.
     Keys of more than ``BLOCK`` items are compared block by block.
     """
     known = labels.withColumnRenamed("component", "group")
@@ -172,7 +174,7 @@ def across(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         for rows in _runs(batches):
-            found += _search(rows, candidates, similar)
+            found += _search(rows, candidates, similar, members)
             if len(found) > 10_000:
                 yield _links(found, batch_type)
                 found = []
@@ -184,7 +186,7 @@ def across(
         "key", F.col("met.low").alias("low"), F.col("met.high").alias("high"),
         "id", "group", "content",
     ).mapInArrow(search, f"id {kind}, other {kind}")
-    return found if similar else found.select(
+    return found if similar or members else found.select(
         F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")
     ).distinct()
 
@@ -209,7 +211,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _search(rows: list[tuple], candidates, similar) -> list[tuple]:
+def _search(rows: list[tuple], candidates, similar, members: bool) -> list[tuple]:
     """Links between groups in one run; those that earlier ones imply are not compared."""
     ids, own, contents = zip(*rows)
     top = {g: g for g in own}
@@ -222,6 +224,9 @@ def _search(rows: list[tuple], candidates, similar) -> list[tuple]:
 
     if len(top) < 2:  # of all blocks of a key, these two may hold one group only
         return []
+    if members:
+        having = {k for pair in candidates(list(contents), np.array(own)) for k in pair}
+        return [(ids[k], ids[k]) for k in having]
     found = []
     for i, j in candidates(list(contents), np.array(own)):
         if similar is None:
@@ -241,13 +246,17 @@ def linked_groups(
     similar: Callable[[bytes, bytes], bool],
     points: DataFrame | None = None,
     bound: Callable[[bytes, bytes], bool] | None = None,
+    within: Candidates | None = None,
 ) -> DataFrame:
     """``id, component`` of all items with a similar one; see the head of this module.
 
     ``contents`` gives ``id, content`` of at least the items in a frame of ``id``. With
     ``points``, a small ``id, content`` of all items, and ``bound``, which tells from two
     points whether their items may be similar, only contents of pairs that pass are
-    fetched. ``shared`` and ``points`` are read several times and should be stored tables.
+    fetched. With ``within``, candidates among contents, items that have any candidate by
+    points are searched key by key on their contents, so that pairs which earlier links
+    imply are not compared; this suits small contents. ``shared`` and ``points`` are read
+    several times and should be stored tables.
     """
     pairs = centres(shared)
     if points is not None:
@@ -256,9 +265,14 @@ def linked_groups(
     labels = groups(first)
     if points is None:
         second = across(shared, labels, contents(shared.select("id")), candidates, similar)
-    else:
+    elif within is None:
         pairs = stage(across(shared, labels, points, candidates, None), "likely")
         second = verified(pairs, contents(_members(pairs)), similar)
+    else:
+        met = across(shared, labels, points, candidates, None, members=True)
+        met = stage(met.select("id").distinct(), "likely")
+        kept = shared.join(met, "id", "left_semi")
+        second = across(kept, labels, contents(met), within, similar)
     second = stage(second, "links")
     if second.isEmpty():
         return labels
