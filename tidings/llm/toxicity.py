@@ -36,6 +36,8 @@ BUCKETS, WIDTH, UNITS = 1 << 14, 8, 8
 #: Lengths of character n-grams, in bytes, word boundaries included.
 GRAMS = (3, 5)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
+#: Texts of each label that are needed to learn, or to calibrate, at all.
+LEAST = 20
 #: Steps that a small sample is trained for, over at most so many epochs.
 STEPS, MOST_EPOCHS = 150, 40
 _WORD = byte_class(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -315,14 +317,15 @@ def _input_gradients(words: Words, wanted: np.ndarray, d_word: np.ndarray):
 def train(texts: list[str], labels: np.ndarray, base_rate: float, seed: int = 7) -> Network:
     """A network trained on lower-case texts and their 0/1 labels.
 
-    Four fifths of the texts train it, the rest calibrates. In the first epoch every window
+    With fewer than ``LEAST`` texts of a label nothing is learned and every score is the base
+    rate. Four fifths of the texts train it, the rest calibrates, or all if it is too few. In the first epoch every window
     has the label of its text; later those windows count that scored highest, since a text is
     judged by its highest window and not every part of a toxic text need be toxic.
     """
     network = Network(seed)
     network.base_rate = float(base_rate)
     network.calibration = np.array([0.0, 0.0, np.log((base_rate + 1e-6) / (1 - base_rate + 1e-6))])
-    if len(texts) < 10 or labels.min() == labels.max():
+    if min((labels == 0).sum(), (labels == 1).sum()) < LEAST:
         return network
     held = np.arange(len(texts)) % 5 == 0
     words = Words.of([t for t, h in zip(texts, held) if not h])
@@ -340,6 +343,8 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, seed: int = 7)
         for i in range(0, len(used), BATCH):
             batch = used[i : i + BATCH]
             _learn(network, adam, words, start[batch], size[batch], own[row[batch]], rate)
+    if min((labels[held] == 0).sum(), (labels[held] == 1).sum()) < LEAST:
+        held[:] = True  # too few to calibrate on alone
     rest = Words.of([t for t, h in zip(texts, held) if h])
     network.calibration = _calibrate(network, rest, labels[held], base_rate)
     return network
