@@ -56,8 +56,9 @@ def test_pipeline(spark, tmp_path):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     known = labels.where("toxic = 0").join(documents, "doc_id").count()
     left = labels.where("toxic = 0").join(toxic, "doc_id").count()
-    assert left >= 0.9 * known and toxic.count() < documents.count() + 4
+    # this folder has fewer than LEAST toxic labels: nothing is learned, so nothing goes
+    assert left == known and toxic.count() == documents.count() + 4
     texts = [x for r in lines.select("text").collect() for x in (r[0] or "").lower().split("\n")]
     normal = [" ".join(t.split()) for t in texts if t.split()]
     assert len(normal) == len(set(normal))
-    assert toxicity.SAMPLE > 0
+    assert labels.where("toxic = 1").count() < toxicity.LEAST
