@@ -226,6 +226,27 @@ def test_simhash_blocks_of_close_lines():
     assert (blocks[1] == blocks[2]).all() and blocks.max() < 1 << fuzzy_lines.BITS
 
 
+def test_recall_of_lines_of_every_length(spark):
+    """Nine of ten lines go that differ by all the edits that the similarity allows."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    sizes = [9, 10, 11, 15, 20, 30, 40, 55, 80, 110, 160, 178, 250, 400, 800, 1500]
+    rows = []
+    for size in sizes:
+        for _ in range(60):
+            line = list(" ".join(rng.choices(words, k=size))[: size - 1] + "q")
+            edited = list(line)
+            for _ in range(edits.budget_of(size, fuzzy_lines.SIMILARITY)):
+                at, way = rng.randrange(len(edited)), rng.randrange(3)
+                edited[at : at + (way > 0)] = rng.choice("uvwxyz") if way < 2 else ""
+            rows.append((len(rows), size, "".join(line), "".join(edited)))
+    docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, _, a, b in rows], "id LONG, text STRING")
+    gone = {r["id"] for r in fuzzy_lines.decide_lines(docs).collect() if r["line"] and not r["kept"]}
+    for size in sizes:
+        near = [i for i, n, a, b in rows if n == size and fuzzy_lines.alike(*map(fuzzy_lines.normalise, (a, b)))]
+        assert len(near) >= 50 and len(gone & set(near)) >= 0.9 * len(near), size
+
+
 # -- benchmark -------------------------------------------------------------------------
 
 
