@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidings.operators import fits, lda, word_maps
-from tidings.plans import jobs
+from tidings.plans import catalog, jobs
 
 TOPICS = {
     "fruit": "apple pear plum grape melon".split(),
@@ -162,3 +162,22 @@ def test_inspection_covers_every_node(spark, docs, tmp_path):
     assert len(nodes) == 1 + len(found.level2) + leaves
     terms = spark.read.parquet(str(tmp_path / "i" / "vocabularies"))
     assert {r["level"] for r in terms.select("level").distinct().collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("name", ["word_vectors", "word_vectors_words", "inspect_export"])
+def test_registered_queries_train_as_the_reference(spark, docs, monkeypatch, name):
+    trained = []
+
+    def record(**params):
+        trained.append((params["vectorSize"], params["maxIter"]))
+        raise InterruptedError
+
+    monkeypatch.setattr(word_maps, "Word2Vec", record)
+    def inspect(df, path, params=fits.FIXED, word_params=word_maps.WordParams()):
+        return None, word_maps.word_map(df, word_params)
+
+    monkeypatch.setattr(catalog, "words", lambda *_: docs)
+    monkeypatch.setattr(jobs, "inspect", inspect)
+    with pytest.raises(InterruptedError):
+        catalog.QUERIES[name](spark, "")
+    assert set(trained) == {(200, 100)}

@@ -619,9 +619,8 @@ def lda_invariants(spark, sf_dir):
 @query
 def word_vectors_words(spark, sf_dir):
     """Every word of the corpus has a vector."""
-    params = word_maps.WordParams(size=4, max_iter=1)
     docs = stage(words(spark, sf_dir), "words")
-    return word_maps.word_vectors(docs, params).select("word")
+    return word_maps.word_vectors(docs).select("word")
 
 
 def _lda_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -655,8 +654,7 @@ def lda_hierarchy(spark, sf_dir):
 
 @query
 def word_vectors(spark, sf_dir):
-    params = word_maps.WordParams(size=16, max_iter=1)
-    return word_maps.word_vectors(stage(words(spark, sf_dir), "words"), params)
+    return word_maps.word_vectors(stage(words(spark, sf_dir), "words"))
 
 
 @query
@@ -671,9 +669,8 @@ def pca2(spark, sf_dir):
 
 @query
 def inspect_export(spark, sf_dir):
-    params = word_maps.WordParams(size=16, max_iter=1)
     docs = stage(words(spark, sf_dir), "words")
-    _, maps = jobs.inspect(docs, work_dir(spark, "inspect"), word_params=params)
+    _, maps = jobs.inspect(docs, work_dir(spark, "inspect"))
     return maps.select("level", "cluster", "subcluster", "word", "x", "y")
 
 
