@@ -12,6 +12,7 @@ from tidings.llm import (
     arc,
     bpe_codec,
     chat,
+    divergence,
     fuzzy_lines,
     leaks,
     licences,
@@ -171,3 +172,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.archive_pages(read_table(spark, sf_dir, "pages", "page_id"))
+
+
+@query
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(read_table(spark, sf_dir, "documents", "doc_id"))
+
+
+ORACLES["op12_divergence_audit"] = divergence.SQL
