@@ -17,6 +17,7 @@ from tidings.llm import (
     leaks,
     licences,
     recipes,
+    repair,
     shingle_join,
     token_counts,
     toxicity,
@@ -180,3 +181,11 @@ def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_divergence_audit"] = divergence.SQL
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit_report(read_table(spark, sf_dir, "conversations", "conv_id"))
+
+
+ORACLES["op13_conversation_repair"] = repair.SQL
