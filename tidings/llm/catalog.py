@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,6 +16,7 @@ from tidings.llm import (
     fuzzy_lines,
     leaks,
     licences,
+    personal,
     recipes,
     repair,
     shingle_join,
@@ -189,3 +190,20 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_conversation_repair"] = repair.SQL
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents", "doc_id")
+    found = personal.find_personal(documents, personal.fit(documents), redacted=False)
+
+    def listed(spans: str) -> Column:
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    return found.select(
+        "doc_id",
+        *[f"n_{kind}" for kind in personal.KINDS],
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
