@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidings.llm import divergence, personal, repair
@@ -214,9 +215,7 @@ def divergence_by_hand(rows, least, top):
 
 def test_divergence_against_a_plain_version(spark, monkeypatch):
     """Several blocks of sources, gaps, repeated rows, a language without terms, a long text."""
-    monkeypatch.setattr(divergence, "BLOCK", 3)
     monkeypatch.setattr(divergence, "PARTS", 2)
-    monkeypatch.setattr(divergence, "HELD", 20)
     rng = random.Random(8)
     rows = []
     for k in range(400):
@@ -225,12 +224,30 @@ def test_divergence_against_a_plain_version(spark, monkeypatch):
     rows += [(None, "en", None), ("", "xx", "a"), ("1 2", "xx", "b"), ("ab " * 5000, "en", "s0")] + rows[:9]
     table = spark.createDataFrame(rows, "text string, lang string, source string")
     docs = table.selectExpr("*", "1 as term", "2 as n", "cast(null as int) as rank", "3 as value")
-    found = divergence.divergence_audit(docs, min_docs=5, top=3).collect()
+    found = divergence.divergence_audit(docs, min_docs=5, top=3, block=3).collect()
     got = {tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in found}
     assert len(got) == len(found) and got == divergence_by_hand(rows, 5, 3)
     assert divergence.divergence_audit(docs.limit(0)).count() == 0
 
 
+def test_partial_counts_are_handed_on_in_rounds(monkeypatch):
+    """What a task holds is bounded; sums do not depend on the rounds."""
+    batch = pa.RecordBatch.from_pydict(
+        {"lang": ["en"] * 4, "source": ["a", "b", "a", "a"], "text": ["x y", "x", "y y z", None]}
+    )
+    seen = []
+    for held in (1, 1000):
+        monkeypatch.setattr(divergence, "HELD", held)
+        made = [tuple(r.values()) for b in divergence._partial(iter([batch])) for r in b.to_pylist()]
+        sums = Counter()
+        for lang, source, term, n, docs in made:
+            sums[lang, source, term] += n
+            sums[lang, source, term, "docs"] += docs
+        seen.append((len(made), sums))
+    assert seen[0][0] > seen[1][0] and seen[0][1] == seen[1][1]
+    assert seen[1][1]["en", "a", b"y"] == 3 and seen[1][1]["en", "a", b"y", "docs"] == 2
+
+
 def test_shares_are_exact_for_large_counts(spark):
     row = spark.sql("select 9000000000000000 as n, 9000000000000001 as total, 7L as v")
     got = row.select(divergence.share("n", "total", "v").alias("p")).first()["p"]
@@ -271,7 +288,8 @@ def cheapest(rows):
 def audit_by_hand(rows):
     """Everything of the contract for one conversation's rows ``turn, role, text``."""
     space = " \t\n\x0b\x0c\r"
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    said = lambda r: hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2][: repair.HEAD], said(r)))
     judged, seen, counts = [], set(), Counter()
     for turn, role, text in rows:
         body = text.rstrip(space)

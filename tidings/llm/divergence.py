@@ -17,7 +17,7 @@ occurs again; columns other than ``text, lang, source`` are not looked at.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,18 +200,18 @@ def _cells() -> Column:
     )
 
 
-def source_distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
+def source_distances(shares: DataFrame, groups: DataFrame, size: int = BLOCK) -> DataFrame:
     """``lang, a, b, value`` (``a < b`` are places): sums of absolute differences of shares.
 
-    Terms of a language are dealt to ``PARTS`` parts and its sources to blocks. A task takes
+    Terms of a language are dealt to ``PARTS`` parts and its sources to blocks of ``size``. A task takes
     one part and two blocks: of a term that some of these sources use it has a row each, and
     adds all differences at once; terms that none uses differ by the shares of count zero.
     """
     whole = W.partitionBy("lang")
     located = groups.select(
         "lang", "source", "place", "zero", "terms",
-        F.floor(F.col("place") / BLOCK).cast("int").alias("block"),
-        F.ceil(F.count(F.lit(1)).over(whole) / BLOCK).cast("int").alias("blocks"),
+        F.floor(F.col("place") / size).cast("int").alias("block"),
+        F.ceil(F.count(F.lit(1)).over(whole) / size).cast("int").alias("blocks"),
     )
     # the shares of count zero go before the terms of every cell
     first = located.withColumn(
@@ -233,7 +233,7 @@ def source_distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
         .sortWithinPartitions("lang", "part", "low", "high", F.asc_nulls_first("term"))
     )
     sums = (
-        rows.mapInArrow(_compare, "lang string, a int, b int, value long, seen long")
+        rows.mapInArrow(_comparing(size), "lang string, a int, b int, value long, seen long")
         .groupBy("lang", "a", "b")
         .agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     )
@@ -251,17 +251,16 @@ def source_distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
 class _Cell:
     """Two blocks of sources of a language and one part of its terms."""
 
-    def __init__(self, lang: str, low: int, high: int) -> None:
-        self.lang, self.low, self.high = lang, low, high
-        self.zero = np.zeros(2 * BLOCK, np.int64)
-        self.known = np.zeros(2 * BLOCK, bool)
-        self.sums = np.zeros((BLOCK, BLOCK), np.int64)
+    def __init__(self, lang: str, low: int, high: int, size: int) -> None:
+        self.lang, self.low, self.high, self.size = lang, low, high, size
+        self.zero = np.zeros(2 * size, np.int64)
+        self.known = np.zeros(2 * size, bool)
+        self.sums = np.zeros((size, size), np.int64)
         self.seen = 0
 
     def spot(self, place: np.ndarray) -> np.ndarray:
-        """0 to BLOCK - 1 in the low block, from BLOCK on in the high one."""
-        high = (place // BLOCK != self.low) * BLOCK
-        return place % BLOCK + high
+        """Below ``size`` in the low block, from there on in the high one."""
+        return place % self.size + (place // self.size != self.low) * self.size
 
     def sources(self, place: np.ndarray, zero: np.ndarray) -> None:
         spot = self.spot(place)
@@ -276,72 +275,77 @@ class _Cell:
             count = int(min(step, term[-1] + 1 - first))
             shares = np.repeat(self.zero[None], count, axis=0)
             shares[term[lo:hi] - first, spot[lo:hi]] = p[lo:hi]
-            left = shares[:, :BLOCK]
-            right = left if self.low == self.high else shares[:, BLOCK:]
-            used_left = int(np.flatnonzero(self.known[:BLOCK])[-1]) + 1
+            left = shares[:, : self.size]
+            right = left if self.low == self.high else shares[:, self.size :]
+            used_left = int(np.flatnonzero(self.known[: self.size])[-1]) + 1
             for at in range(used_left):
                 self.sums[at] += np.abs(right - left[:, at : at + 1]).sum(axis=0)
             self.seen += count
 
     def result(self) -> pa.RecordBatch:
-        half = slice(0, BLOCK) if self.low == self.high else slice(BLOCK, None)
-        a, b = np.nonzero(np.outer(self.known[:BLOCK], self.known[half]))
+        half = slice(0, self.size) if self.low == self.high else slice(self.size, None)
+        a, b = np.nonzero(np.outer(self.known[: self.size], self.known[half]))
         if self.low == self.high:
             a, b = a[a < b], b[a < b]
         columns = [
             pa.array([self.lang] * len(a), pa.string()),
-            pa.array(a + self.low * BLOCK, pa.int32()),
-            pa.array(b + self.high * BLOCK, pa.int32()),
+            pa.array(a + self.low * self.size, pa.int32()),
+            pa.array(b + self.high * self.size, pa.int32()),
             pa.array(self.sums[a, b], pa.int64()),
             pa.array(np.full(len(a), self.seen), pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["lang", "a", "b", "value", "seen"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of a sorted partition. The rows of a term are held till its last has come: at
-    most ``2 * BLOCK``, one a source."""
-    cell, name, held = None, None, None
-
-    def add(rows: list) -> None:
-        terms = np.array([r[4] for r in rows], object)
-        place, p = (np.array([r[k] for r in rows], np.int64) for k in (5, 6))
-        number = np.concatenate(([0], np.cumsum(terms[1:] != terms[:-1])))
-        cell.terms(number, place, p)
-
-    for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-        first = 0
-        while first < len(rows):
-            key = rows[first][:4]
-            last = first
-            while last < len(rows) and rows[last][:4] == key:
-                last += 1
-            part = rows[first:last]
-            first = last
-            if key != name:
-                if cell is not None:
-                    if held:
-                        add(held)
-                    yield cell.result()
-                cell, name, held = _Cell(key[0], key[2], key[3]), key, []
-            sources = [r for r in part if r[4] is None]
-            if sources:
-                cell.sources(*(np.array([r[k] for r in sources], np.int64) for k in (5, 6)))
-            held = held + part[len(sources) :]
-            cut = len(held)  # the last term may go on in the next batch
-            while cut and held[cut - 1][4] == held[-1][4]:
-                cut -= 1
-            if cut:
-                add(held[:cut])
-                held = held[cut:]
-    if cell is not None:
-        if held:
-            add(held)
-        yield cell.result()
-
-
-def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def _comparing(size: int) -> Callable:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of a sorted partition. The rows of a term are held till its last has come: at
+        most one a source of the two blocks."""
+        cell, name, held = None, None, None
+
+        def add(rows: list) -> None:
+            terms = np.array([r[4] for r in rows], object)
+            place, p = (np.array([r[k] for r in rows], np.int64) for k in (5, 6))
+            number = np.concatenate(([0], np.cumsum(terms[1:] != terms[:-1])))
+            cell.terms(number, place, p)
+
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            first = 0
+            while first < len(rows):
+                key = rows[first][:4]
+                last = first
+                while last < len(rows) and rows[last][:4] == key:
+                    last += 1
+                part = rows[first:last]
+                first = last
+                if key != name:
+                    if cell is not None:
+                        if held:
+                            add(held)
+                        yield cell.result()
+                    cell, name, held = _Cell(key[0], key[2], key[3], size), key, []
+                sources = [r for r in part if r[4] is None]
+                if sources:
+                    cell.sources(*(np.array([r[k] for r in sources], np.int64) for k in (5, 6)))
+                held = held + part[len(sources) :]
+                cut = len(held)  # the last term may go on in the next batch
+                while cut and held[cut - 1][4] == held[-1][4]:
+                    cut -= 1
+                if cut:
+                    add(held[:cut])
+                    held = held[cut:]
+        if cell is not None:
+            if held:
+                add(held)
+            yield cell.result()
+
+    return compare
+
+
+def divergence_audit(
+    docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK
+) -> DataFrame:
     """``lang, source, part, item, value, rank``.
 
     Part ``pair``: every other source of the language, by the sum of differences of their
@@ -354,7 +358,7 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP)
     shares = kept.join(
         groups.select("lang", "source", "total", "lang_total", "terms"), ["lang", "source"]
     ).withColumn("p", share("n", "total", "terms"))
-    distances = source_distances(shares.select("lang", "source", "term", "p"), groups)
+    distances = source_distances(shares.select("lang", "source", "term", "p"), groups, block)
     both = distances.select("lang", "a", "b", "value").union(
         distances.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")
     )
