@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tidings.operators import fits, lda, word_maps
+from tidings.operators import fits, lda, skipgram, word_maps
 from tidings.plans import catalog, jobs
 
 TOPICS = {
@@ -90,7 +90,8 @@ def test_guards(spark):
 
 
 def test_hierarchy(spark, docs, tmp_path):
-    found = fits.fit_hierarchy(docs, str(tmp_path / "h"), (SMALL, SUB))
+    # one of many layouts in which K-means finds the pools from this seed
+    found = fits.fit_hierarchy(docs, str(tmp_path / "h"), (SMALL, SUB), partitions=16)
     assert found.assigned.count() == docs.count()
     topics = found.topics.collect()
     assert sum(r["documents"] for r in topics) == docs.count()
@@ -132,13 +133,97 @@ def test_prepare_lda_with_lemmas(spark):
     assert lda.prepare_lda(frame).first()["words"] == ["cats", "ran"]
 
 
-def test_word_map_and_limits(docs, monkeypatch):
+def test_word_map(docs):
     params = word_maps.WordParams(size=8, max_iter=1)
-    words = word_maps.word_map(docs, params)
-    assert words.count() == 15
-    monkeypatch.setattr(word_maps, "MAX_WEIGHTS", 10)
-    with pytest.raises(ValueError, match="min_count"):
-        word_maps.word_vectors(docs, params)
+    assert word_maps.word_map(docs, params).count() == 15
+    vectors = word_maps.word_vectors(docs, params).collect()
+    assert len(vectors) == 15 and all(len(r["vector"]) == 8 for r in vectors)
+    assert word_maps.word_map(docs.limit(0), params).count() == 0
+
+
+def test_shards_follow_the_words_alone():
+    small, few, large = skipgram.SMALL, skipgram.FEW, skipgram.LARGE
+    assert [skipgram.shard_count(n) for n in (0, 1, small, small + 1, small * few)] == [1, 1, 1, 2, few]
+    assert skipgram.shard_count(large * few) == few and skipgram.shard_count(large * 90) == 90
+
+
+def topic_texts(spark, count=240):
+    """Sentences of two topics that share no word but ``both``, and a group of each half."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(count):
+        topic = "ab"[k % 2]
+        rows.append((k, [f"{topic}{i}" for i in rng.integers(0, 12, 30)] + ["both"], f"g{k % 4 // 2}"))
+    rows += [(count, None, "g0"), (count + 1, [], "g1"), (count + 2, ["alone"], "g1"), (count + 3, [None, "a1", "a2"], "g0")]
+    return spark.createDataFrame(rows, "doc_id INT, words ARRAY<STRING>, grp STRING")
+
+
+def test_vectors_tell_topics_apart(spark, monkeypatch):
+    """Several shards, averaged; the same in any layout; groups train apart."""
+    monkeypatch.setattr(skipgram, "SMALL", 1500)
+    texts = topic_texts(spark)
+    train = lambda df, group=None: word_maps.group_vectors(
+        df, group, word_maps.WordParams(size=16, max_iter=60, rounds=3)
+    )
+    found = {(r["grp"], r["word"]): np.array(r["vector"]) for r in train(texts).collect()}
+    assert {w for _, w in found} == {f"{t}{i}" for t in "ab" for i in range(12)} | {"both", "alone"}
+    assert all(np.isfinite(v).all() for v in found.values())
+    unit = {w: v / np.linalg.norm(v) for (_, w), v in found.items()}
+    within = np.mean([unit["a1"] @ unit[f"a{i}"] for i in range(2, 12)])
+    across = np.mean([unit["a1"] @ unit[f"b{i}"] for i in range(2, 12)])
+    assert within > across + 0.3
+    again = {(r["grp"], r["word"]): np.array(r["vector"]) for r in train(texts.repartition(5)).collect()}
+    assert all(np.allclose(found[k], again[k], atol=1e-5) for k in found)
+    grouped = train(texts, "grp").collect()
+    assert {r["grp"] for r in grouped} == {"g0", "g1"}
+    assert sum(r["word"] == "alone" for r in grouped) == 1
+    once = word_maps.group_vectors(texts, None, word_maps.WordParams(size=4, max_iter=1, min_count=2))
+    assert "alone" not in {r["word"] for r in once.collect()}
+
+
+def test_groups_are_projected_as_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    data = {g: rng.normal(size=(40 + 20 * g, 5)) * np.array([5, 3, 1, 1, 1]) for g in range(2)}
+    rows = [(str(g), f"w{i}", row.tolist()) for g, x in data.items() for i, row in enumerate(x)]
+    rows.append(("one", "w", [1.0] * 5))
+    frame = spark.createDataFrame(rows, "grp STRING, word STRING, vector ARRAY<FLOAT>").repartition(4)
+    placed = skipgram.project_groups(frame, 5).toPandas()
+    for g, x in data.items():
+        own = placed[placed["grp"] == str(g)][["x", "y"]].to_numpy()
+        expected = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:2]
+        assert np.var(own, axis=0, ddof=1) == pytest.approx(expected, rel=1e-4)
+    assert placed[placed["grp"] == "one"][["x", "y"]].to_numpy().tolist() == [[0.0, 0.0]]
+
+
+def test_steps_equal_a_plain_loop(monkeypatch):
+    """One step of the trainer, pair by pair."""
+    monkeypatch.setattr(skipgram, "STEP", 2)
+    rng = np.random.default_rng(2)
+    tokens, sentence = rng.integers(0, 6, 70), np.repeat([0, 1], [40, 30])
+    inner, outer = rng.normal(size=(2, 6, 3)).astype(np.float32)
+    x, y = inner.copy(), outer.copy()
+    skipgram.train_shard(tokens, sentence, inner, outer, range(1), 1, 2, 9)
+    draw, size = np.random.default_rng([9, 0]), skipgram.BLOCK
+    offset = int(draw.integers(size))
+    blocks = -(-(70 + offset) // size)
+    reach = draw.integers(1, 3, blocks * size)
+    words = [[p for p in range(b * size - offset, (b + 1) * size - offset) if 0 <= p < 70] for b in range(blocks)]
+    order, sums = draw.permutation(blocks), np.ones((2, 6))
+    for first in range(0, blocks, 2):
+        step, slopes = order[first : first + 2], np.zeros((2, 6, 3))
+        for block, after in zip(step, np.roll(step, -1)):
+            for i in words[block]:
+                near = [j for j in words[block] if 0 < abs(i - j) <= reach[i + offset] and sentence[i] == sentence[j]]
+                far = [j for j in words[after] if tokens[i] != tokens[j] and (block != after or j not in near)]
+                for j, sign in [(j, 1) for j in near] + [(j, 0) for j in far]:
+                    p = 1 / (1 + np.exp(-x[tokens[i]] @ y[tokens[j]]))
+                    slope = 1 - p if sign else -p * skipgram.NEGATIVES * len(near) / len(far)
+                    slopes[0, tokens[i]] += slope * y[tokens[j]]
+                    slopes[1, tokens[j]] += slope * x[tokens[i]]
+        sums += (slopes**2).mean(2)
+        change = skipgram.RATE * slopes / np.sqrt(sums)[:, :, None]
+        x, y = x + change[0], y + change[1]
+    assert np.allclose(inner, x, atol=1e-4) and np.allclose(outer, y, atol=1e-4)
 
 
 def test_pca_variance_matches_numpy(spark):
@@ -164,20 +249,16 @@ def test_inspection_covers_every_node(spark, docs, tmp_path):
     assert {r["level"] for r in terms.select("level").distinct().collect()} == {1, 2}
 
 
-@pytest.mark.parametrize("name", ["word_vectors", "word_vectors_words", "inspect_export"])
+@pytest.mark.parametrize("name", ["word_vectors", "inspect_export"])
 def test_registered_queries_train_as_the_reference(spark, docs, monkeypatch, name):
     trained = []
 
-    def record(**params):
-        trained.append((params["vectorSize"], params["maxIter"]))
+    def record(df, size, max_iter, *rest):
+        trained.append((size, max_iter))
         raise InterruptedError
 
-    monkeypatch.setattr(word_maps, "Word2Vec", record)
-    def inspect(df, path, params=fits.FIXED, word_params=word_maps.WordParams()):
-        return None, word_maps.word_map(df, word_params)
-
+    monkeypatch.setattr(skipgram, "train_words", record)
     monkeypatch.setattr(catalog, "words", lambda *_: docs)
-    monkeypatch.setattr(jobs, "inspect", inspect)
     with pytest.raises(InterruptedError):
         catalog.QUERIES[name](spark, "")
-    assert set(trained) == {(200, 100)}
+    assert trained == [(200, 100)]

@@ -9,7 +9,7 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "embeddings", "events")
+TABLES = [name.split(".")[0] for name in sorted(os.listdir(SF_DIR))]
 
 
 @pytest.fixture(scope="module")

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators.fits import LevelParams
+from tidings.session import folder_names, stored_bytes
 from tidings.streaming import maintain
 from tidings.streaming.maintain import StreamConfig, TopicMaintainer, maintain_topics
-from tidings.streaming.store import TopicStore
+from tidings.streaming.store import InForce, TopicStore
 
 LEVEL1 = LevelParams(k=2, label_length=2, max_iter=20, vocab_size=12, min_df=1)
 LEVEL2 = LevelParams(k=2, label_length=2, max_iter=20, vocab_size=8, min_df=1)
@@ -151,7 +152,7 @@ def test_crash_before_the_registry_keeps_the_old_version(spark, booted, monkeypa
     docs = batch(spark, *FAR)
     real = TopicStore.commit
 
-    def crash(self, spark, batch_id, rows):
+    def crash(self, *args):
         raise RuntimeError("lost")
 
     monkeypatch.setattr(TopicStore, "commit", crash)
@@ -218,3 +219,62 @@ def test_stream_of_files(spark, tmp_path):
     assert state.where(F.array_contains("words", "the")).count() == 0
     run()
     assert store.in_force(spark, 9).version == 1
+
+
+def test_one_key_is_one_document_whatever_the_layout(spark, booted):
+    """Rows of a key count once, and a batch that runs again gives keys the same places."""
+    rows = [(t.split(), k) for k, t in zip("abcab", [PEAR, ZINC, FAR[0], PEAR, ZINC])]
+    rows.append((LEAD.split(), None))
+    docs = spark.createDataFrame(rows, "words ARRAY<STRING>, key STRING")
+
+    def places(frame):
+        TopicMaintainer(spark, booted.store.path, config()).process(frame, 2)
+        state = booted.store.rows(spark, booted.store.in_force(spark, 3), 2).where("batch_id = 2")
+        found = state.select("key", "doc_id", "slot", "cluster").collect()
+        return sorted((tuple(r) for r in found if len(r["key"]) == 1))
+
+    once = places(docs)
+    assert [r[0] for r in once] == ["a", "b", "c"]
+    assert places(docs.repartition(5)) == once == places(docs.coalesce(1))
+    assert booted.store.ledger(spark).where("batch_id = 2").first()["arrived"] == 4
+
+
+def test_ledger_accounts_for_every_document(spark, booted):
+    arriving = [FAR[:2], [FAR[0], PEAR], [ZINC] * 2, FAR, [PEAR, PLUM]]
+    for k, texts in enumerate(arriving):
+        booted.process(batch(spark, *texts), 2 + k)
+    rows = {r["batch_id"]: r for r in booted.store.ledger(spark).collect()}
+    assert [rows[b]["arrived"] for b in range(7)] == [5, 5, *map(len, arriving)]
+    used = sum(r["global_used"] + r["local_used"] for r in rows.values())
+    state = booted.store.state(spark, booted.store.in_force(spark, 7), 6, 50)
+    assert used >= 3 and state.count() == sum(r["arrived"] for r in rows.values()) - used
+    assert rows[3]["refits"] == 1 and rows[4]["refits"] == 0
+
+
+def test_vacuum_bounds_storage_and_keeps_what_is_asked_for(spark, booted):
+    """Twenty batches, most of which refit: what is stored stops growing."""
+    booted.config = config(vacuum_every=1, vacuum_margin=2, warehouse_limit=6)
+    sizes, folders = [], []
+    for batch_id in range(2, 22):
+        booted.process(batch(spark, *FAR, PEAR, ZINC), batch_id)
+        stored = [stored_bytes(spark, f"{booted.store.path}/{t}") for t in ("state", "models")]
+        sizes.append(sum(stored))
+        folders.append(len(folder_names(spark, f"{booted.store.path}/models")))
+    assert max(sizes[10:]) <= 1.3 * max(sizes[:10]) and max(folders) <= 8
+    force = booted.store.in_force(spark, 22)
+    assert force.version > 2
+    # a restart behind any batch of the margin still finds what it needs
+    for back in (22, 21, 20):
+        other = TopicStore(spark, booted.store.path)
+        then = other.in_force(spark, back)
+        assert other.state(spark, then, back - 1, 6).count() > 0
+        assert other.model(then.level1).centres
+    again = TopicMaintainer(spark, booted.store.path, booted.config)
+    before = snapshot(booted, spark, 21)[0]
+    again.process(batch(spark, *FAR, PEAR, ZINC), 21)
+    assert len(snapshot(again, spark, 21)[0]) == len(before)
+
+
+def test_lines_in_force_read_back():
+    force = InForce(4, 3, "a", {0: "b", 1: None}, {1: 4})
+    assert InForce.read(force.line()) == force and InForce.read(InForce().line()) == InForce()

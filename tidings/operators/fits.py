@@ -1,7 +1,8 @@
 """Two levels of K-means over TF-IDF vectors.
 
-Fits are reproducible: rows are hashed by ``doc_id`` into a fixed number of partitions and
-sorted there, because K-means sampling depends on the layout of its input.
+Fits are reproducible: rows are hashed by ``doc_id`` into a number of partitions that follows
+from the number of rows, and sorted there, because K-means sampling depends on the layout of
+its input.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from tidings.operators.labels import (
     topic_hierarchy_table,
 )
 
-LAYOUT_PARTITIONS = 16
+# Rows of a partition in the layout of a fit.
+LAYOUT_ROWS = 8192
 
 # Stands for the first level among the nodes, which are numbered from 0.
 LEVEL1 = -1
@@ -83,13 +85,19 @@ class LevelModel:
         return cls(PipelineModel.load(path))
 
 
+def layout_partitions(rows: int) -> int:
+    """Partitions for so many rows: ``LAYOUT_ROWS`` each, whatever the cluster."""
+    return max(1, -(-rows // LAYOUT_ROWS))
+
+
 def lay_out(df: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """The canonical layout of a fit's input: hashed by a unique key, sorted inside.
 
-    The number of partitions is fixed, so that a fit does not depend on the session; set
-    ``partitions`` for more than some gigabytes of features.
+    The number of partitions depends on the number of rows alone, so a fit does not depend
+    on the session, and no task grows with the data: ten times the rows are ten times the
+    partitions. Counting reads no column but what filters need.
     """
-    width = partitions or LAYOUT_PARTITIONS
+    width = partitions or layout_partitions(df.count())
     return df.repartition(width, key).sortWithinPartitions(key)
 
 

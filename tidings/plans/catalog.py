@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.functions import text
-from tidings.operators import clusters, features, fits, labels, lda, retention, word_maps
+from tidings.operators import clusters, features, fits, labels, lda, retention, skipgram, word_maps
 from tidings.plans import jobs
 from tidings.session import spread, stage, work_dir
 from tidings.sources import readers, sinks
 from tidings.sources import replay as replays
 from tidings.sources.position import index_rows, positional_lines
 from tidings.streaming.maintain import StreamConfig, TopicMaintainer
+from tidings.streaming.store import TopicStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -618,9 +621,9 @@ def lda_invariants(spark, sf_dir):
 
 @query
 def word_vectors_words(spark, sf_dir):
-    """Every word of the corpus has a vector."""
-    docs = stage(words(spark, sf_dir), "words")
-    return word_maps.word_vectors(docs).select("word")
+    """The words that get a vector: all that occur often enough, before any training."""
+    least = word_maps.WordParams().min_count
+    return skipgram.word_counts(words(spark, sf_dir)).where(F.col("count") >= least).select("word")
 
 
 def _lda_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -674,6 +677,13 @@ def inspect_export(spark, sf_dir):
     return maps.select("level", "cluster", "subcluster", "word", "x", "y")
 
 
+@query
+def inspect_words(spark, sf_dir):
+    """Words and counts of the corpus, of every language and of its sources."""
+    placed = words(spark, sf_dir, "lang", "source")
+    return word_maps.node_words(placed, "lang", "source")
+
+
 # -- what holds for every fit, and round trips through files ---------------------------
 
 
@@ -853,6 +863,36 @@ def export_scan(spark, sf_dir):
     return word_maps.join_by_position(labels, vectors)
 
 
+@query
+def export_map(spark, sf_dir):
+    """Both coordinates of the real map through label and vector files, joined by position.
+
+    Files are read back, matched by line and finished; each label must carry the coordinates
+    that the projection gave it, and no label may be missing, moved or there twice.
+    """
+    path = work_dir(spark, "export")
+    placed = stage(
+        pca2(spark, sf_dir).select(
+            F.concat(F.lit("w"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("word"), "x", "y"
+        ),
+        "map",
+    )
+    sinks.write_word_map_text(placed, path)
+    read = readers.read_export(spark, f"{path}/labels", f"{path}/vectors")
+    finished = word_maps.finish_export(*read)
+    parts = F.transform(F.split("vectors", ","), lambda v: v.cast("double"))
+    met = placed.join(finished.withColumn("xy", parts), F.col("word") == F.col("labels"), "full")
+    moved = (F.abs(F.col("x") - F.col("xy")[0]) > 1e-12) | (F.abs(F.col("y") - F.col("xy")[1]) > 1e-12)
+    checks = {
+        "labels": F.count("labels"),
+        "positions": F.countDistinct("id"),
+        "unmatched": F.count_if(F.col("word").isNull() | F.col("labels").isNull()),
+        "moved": F.count_if(moved),
+        "flat": F.when((F.stddev("x") > 0) & (F.stddev("y") > 0), 0).otherwise(1),
+    }
+    return _measures(checks, met)
+
+
 @query
 def vocabulary_sink(spark, sf_dir):
     """The vocabulary of every source through its table, and as lines read back."""
@@ -892,3 +932,128 @@ def stream_conservation(spark, sf_dir):
         "first_fit": F.min("model_version"),
     }
     return _measures(checks, state)
+
+
+STREAM_LIMIT = 100
+STREAM_SLICES = 5
+
+
+@query
+def stream_refits(spark, sf_dir):
+    """A topic stream whose containers fill up, checked behind every batch.
+
+    All documents in five batches. The first fits the hierarchy, the second is novel to all
+    topics, the third fits a topic but no subtopic, and two fit both. Limits and retention are
+    100. Counts come from the ledger, the rest from the state behind each batch.
+    """
+    docs = stage(words(spark, sf_dir).withColumn("key", F.col("doc_id").cast("string")), "words")
+    size = -(-docs.count() // STREAM_SLICES)
+    sliced = stage(replays.slices(docs, "doc_id", size=size), "slices")
+    base = StreamConfig(
+        level1=replace(fits.FIXED[0], k=2), level2=fits.FIXED[1], bootstrap=2,
+        global_limit=STREAM_LIMIT, local_limit=STREAM_LIMIT, warehouse_limit=STREAM_LIMIT,
+        vacuum_every=1, vacuum_margin=1,
+    )
+    never, always = -1.0, 1e12
+    fit = (always, always)
+    phases = [fit, (never, never), (always, never), fit, fit]
+    maintainer = TopicMaintainer(spark, work_dir(spark, "stream"), base)
+    store, seen = maintainer.store, []
+    for batch_id, (first, second) in enumerate(phases):
+        maintainer.config = replace(base, threshold1=first, threshold2=second)
+        maintainer.process(sliced.where(F.col("slice") == batch_id), batch_id)
+        force = store.in_force(spark, batch_id + 1)
+        state = store.state(spark, force, batch_id, STREAM_LIMIT)
+        seen.append(stage(
+            state.select("key", "slot", "cluster", "model_version", F.lit(batch_id).alias("behind")), "seen"
+        ))
+    behind = retention.append(*seen)
+    places = behind.groupBy("behind", "slot", "cluster").agg(
+        F.count("*").alias("held"), F.count_if(F.col("cluster").isNull()).alias("unplaced")
+    )
+    repeated = behind.groupBy("behind", "key").count().where("count > 1")
+    full = (F.col("slot") != "warehouse") & (F.col("held") >= STREAM_LIMIT)
+    # everything fits in the last two batches, so both containers only keep what they held
+    novel = F.col("slot") == "global"
+    ledger = store.ledger(spark)
+    rows = _measures(
+        {
+            "containers_left_full": F.count_if(full),
+            "warehouses_over": F.count_if((F.col("slot") == "warehouse") & (F.col("held") > STREAM_LIMIT)),
+            "without_cluster": F.sum(F.when(~novel, F.col("unplaced")).otherwise(0)),
+            "global_held_last": F.sum(
+                F.when(novel & (F.col("behind") == STREAM_SLICES - 1), F.col("held")).otherwise(0)
+            ),
+        },
+        places,
+    )
+    counted = _measures(
+        {
+            "documents": F.sum("arrived"),
+            "global_refits": F.sum(F.when(F.col("batch_id") == 1, F.col("refits")).otherwise(0)),
+            "global_used": F.sum("global_used"),
+            "some_local_refit": F.max((F.col("batch_id") == 2) & (F.col("refits") > 0)).cast("int"),
+        },
+        ledger,
+    )
+    twice = _measures({"keys_twice": F.count("*")}, repeated)
+    return rows.unionByName(counted).unionByName(twice)
+
+
+@query
+def stream_resume(spark, sf_dir):
+    """Tagged lines in files through Structured Streaming, killed half-way and resumed.
+
+    The stream reads one file a trigger. Its third batch is lost behind its work and in front
+    of its acknowledgement, so the restart runs it again from the checkpoint. Each document is
+    named by its line; the result is where it ended up, and how often it is there.
+    """
+    path = work_dir(spark, "resume")
+    lines = documents(spark, sf_dir).select(
+        text.tagged_record(
+            F.to_timestamp(_minutes("doc_id"), "yyyyMMddHHmmss"), F.col("doc_id").cast("string"),
+            text.clean_article("text"),
+        ).alias("value"),
+        "doc_id",
+    )
+    sliced = lines.repartitionByRange(STREAM_SLICES, "doc_id").select("value")
+    sliced.write.text(f"{path}/in")
+    config = StreamConfig(
+        level1=fits.FIXED[0], level2=fits.FIXED[1], threshold1=1e12, threshold2=1e12,
+        bootstrap=2, global_limit=1 << 40, local_limit=1 << 40, warehouse_limit=1 << 30,
+    )
+
+    def run(done: Callable[[int], None]) -> None:
+        maintainer = TopicMaintainer(spark, f"{path}/topics", config)
+
+        def batch(frame: DataFrame, batch_id: int) -> None:
+            maintainer.process(frame, batch_id)
+            done(batch_id)
+
+        source = readers.line_stream(spark, f"{path}/in", maxFilesPerTrigger=1)
+        found = jobs.line_words(source).select("words", text.tagged_field("value", "title").alias("key"))
+        running = (
+            found.writeStream.foreachBatch(batch)
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        try:
+            running.awaitTermination()
+        finally:
+            running.stop()
+
+    def lost(batch_id: int) -> None:
+        if batch_id == 2:
+            raise RuntimeError("lost behind its work")
+
+    try:
+        run(lost)
+    except StreamingQueryException:
+        pass  # the batch that was made to fail
+    run(lambda batch_id: None)
+    store = TopicStore(spark, f"{path}/topics")
+    state = store.state(spark, store.in_force(spark, 1 << 40), 1 << 40, config.warehouse_limit)
+    return state.groupBy("key", "slot").agg(
+        F.count("*").alias("times"), F.count("cluster").alias("clusters")
+    )

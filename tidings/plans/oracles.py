@@ -412,6 +412,13 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'do_not_add_up', 0
     """,
     "word_vectors_words": f"WITH {_WORDS} SELECT DISTINCT term AS word FROM tok",
+    "inspect_words": f"""
+        WITH {_WORDS}
+        SELECT 2 - grouping(source) - grouping(lang) AS level, lang AS cluster,
+               source AS subcluster, term AS word, count(*) AS count
+        FROM tok
+        GROUP BY GROUPING SETS ((lang, source, term), (lang, term), (term))
+    """,
     # fits that meet NULL and NaN input, and what holds for every fit
     "assign_with_gaps": """
         WITH parts AS (
@@ -490,12 +497,36 @@ ORACLES: dict[str, str] = {
                vec_id::VARCHAR || '.0,0.5' AS vectors
         FROM embeddings
     """,
+    "export_map": """
+        SELECT 'labels' AS measure, count(*) AS value FROM embeddings
+        UNION ALL SELECT 'positions', count(*) FROM embeddings
+        UNION ALL SELECT 'unmatched', 0
+        UNION ALL SELECT 'moved', 0
+        UNION ALL SELECT 'flat', 0
+    """,
     "stream_conservation": """
         SELECT 'documents' AS measure, count(*) AS value FROM documents
         UNION ALL SELECT 'in_boot', 0
         UNION ALL SELECT 'without_cluster', 0
         UNION ALL SELECT 'first_fit', 0
     """,
+    # five batches of b documents: the second fills a container of 100, the third one of two
+    "stream_refits": """
+        WITH fills AS (SELECT count(*) AS n, (count(*) + 4) // 5 AS b FROM documents)
+        SELECT 'documents' AS measure, n AS value FROM fills
+        UNION ALL SELECT 'global_refits', CASE WHEN b >= 100 THEN 1 ELSE 0 END FROM fills
+        UNION ALL SELECT 'global_used', CASE WHEN b >= 100 THEN b ELSE 0 END FROM fills
+        UNION ALL SELECT 'global_held_last', CASE WHEN b >= 100 THEN 0 ELSE b END FROM fills
+        UNION ALL SELECT 'some_local_refit', CASE WHEN b >= 199 THEN 1 ELSE 0 END FROM fills
+        UNION ALL SELECT 'containers_left_full', 0
+        UNION ALL SELECT 'warehouses_over', 0
+        UNION ALL SELECT 'without_cluster', 0
+        UNION ALL SELECT 'keys_twice', 0
+    """,
+    "stream_resume": """
+        SELECT doc_id::VARCHAR AS key, 'warehouse' AS slot, 1 AS times, 1 AS clusters
+        FROM documents
+    """,
 }
 
 ORACLES["vocabulary_sink"] = (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,48 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """``stage`` for as long as the block runs; then the table is deleted.
+
+    Nothing that still reads the table may leave the block unevaluated.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, purpose)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, whichever it is, and the path as it wants it."""
+    context = spark.sparkContext
+    there = context._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(context._jsc.hadoopConfiguration()), there
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``; none if there is no such path."""
+    system, there = _file_system(spark, path)
+    if not system.exists(there):
+        return []
+    return [s.getPath().getName() for s in system.listStatus(there) if s.isDirectory()]
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    system, there = _file_system(spark, path)
+    return system.getContentSummary(there).getLength() if system.exists(there) else 0
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder that nothing reads any more."""
+    system, there = _file_system(spark, path)
+    system.delete(there, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a bare scan that has fewer splits than the session has cores.
 

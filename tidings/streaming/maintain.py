@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,6 +32,7 @@ from tidings.operators.fits import (
 )
 from tidings.operators.labels import label_groups
 from tidings.plans.jobs import line_words
+from tidings.session import staged
 from tidings.streaming.store import InForce, TopicStore
 
 
@@ -48,10 +49,15 @@ class StreamConfig:
     local_limit: int = 100
     warehouse_limit: int = 1000
     compact_every: int = 50
+    vacuum_every: int = 20
+    vacuum_margin: int = 5
     partitions: int | None = None
     stop_words: Sequence[str] = text.DEFAULT_STOP_WORDS
 
 
+_COMPACTED = ("compact", None, None, False)
+
+
 class TopicMaintainer:
     """Processes batches of documents with a ``words`` column."""
 
@@ -65,15 +71,24 @@ class TopicMaintainer:
         self._undivided = 0
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Route one batch, refit what has to be refitted, publish the outcome."""
+        """Route one batch, refit what has to be refitted, publish the outcome.
+
+        With a ``key`` column, documents keep it: ``doc_id`` is its hash, rows of one key are
+        one document, and a batch that runs again, in whatever partitions, gives each key the
+        same place. Rows without a key, or with NULL, get one from their position.
+        """
         spark = batch.sparkSession
         seq = F.monotonically_increasing_id()
-        docs = (
-            batch.select("words")
-            .withColumn("seq", seq)
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .withColumn("doc_id", F.xxhash64("batch_id", "seq"))
+        place = F.concat_ws("-", F.lit(str(batch_id)), seq.cast("string"))
+        key = F.coalesce(F.col("key"), place) if "key" in batch.columns else place
+        docs = batch.select(
+            "words", seq.alias("seq"), F.lit(batch_id).cast("bigint").alias("batch_id"), key.alias("key")
         )
+        if "key" in batch.columns:
+            rows = F.struct("seq", "words", "batch_id")
+            docs = docs.groupBy("key").agg(F.min_by(rows, F.struct("words", "seq")).alias("row"))
+            docs = docs.select("key", "row.*")
+        docs = docs.withColumn("doc_id", F.xxhash64("key"))
         # after a finished batch the outcome is known; otherwise the registry tells
         expected, self._next = self._next, None
         if expected and expected[0] == batch_id:
@@ -82,6 +97,8 @@ class TopicMaintainer:
             force = self.store.in_force(spark, batch_id)
         step = self._collect if force.version is None else self._maintain
         self._next = (batch_id + 1, step(docs, force, batch_id))
+        if batch_id and batch_id % self.config.vacuum_every == 0:
+            self.store.vacuum(spark, batch_id, self.config.vacuum_margin)
 
     # -- before the first model ------------------------------------------------------
 
@@ -94,15 +111,19 @@ class TopicMaintainer:
         )
         self.store.write_state(boot, force.generation, batch_id)
         held = self.store.rows(spark, force, batch_id)
-        documents = held.count()
-        if documents < self.config.bootstrap + self._undivided:
-            return force
-        changed = self._refit_all(spark, held, held, batch_id)
+        counted = held.groupBy((F.col("written") == batch_id).alias("fresh")).count()
+        counts = {r["fresh"]: r["count"] for r in counted.collect()}
+        documents, arrived = sum(counts.values()), counts.get(True, 0)
+        changed = None
+        if documents >= self.config.bootstrap + self._undivided:
+            changed = self._refit_all(spark, held, ("boot",), batch_id)
+            if not changed:
+                self._undivided = documents
+        self.store.note(spark, batch_id, arrived, 0, 0, int(changed is not None))
         if not changed:
-            self._undivided = documents
             return force
         force, rows = changed
-        self.store.commit(spark, batch_id, rows)
+        self.store.commit(spark, batch_id, rows, force)
         return force
 
     # -- with a model ----------------------------------------------------------------
@@ -111,18 +132,18 @@ class TopicMaintainer:
         spark = docs.sparkSession
         config = self.config
         self.store.forget_models(force)
-        self._route(docs, force, batch_id)
+        arrived = self._route(docs, force, batch_id)
 
+        used = [0, 0]
         rows: list[tuple] = []
         counts = self._counts(spark, force, batch_id)
         novel = counts.get(("global", None), 0)
         if novel >= config.global_limit + self._undivided:
-            state = self._state(spark, force, batch_id)
-            training = retention.merge_slots(state, "global", "warehouse")
             changed = self._refit_all(
-                spark, training, retention.merge_slots(state, "local", "warehouse"), batch_id
+                spark, self._state(spark, force, batch_id), ("global", "warehouse"), batch_id
             )
             if changed:
+                used[0] = novel
                 force, fitted = changed
                 rows += fitted
                 counts = self._counts(spark, force, batch_id)
@@ -131,6 +152,7 @@ class TopicMaintainer:
 
         for node in sorted(force.nodes):
             if counts.get(("local", node), 0) >= config.local_limit:
+                used[1] += counts["local", node]
                 force, fitted = self._refit_node(spark, force, node, batch_id)
                 rows += fitted
 
@@ -138,9 +160,11 @@ class TopicMaintainer:
             self.store.write_state(
                 self._state(spark, force, batch_id), batch_id, batch_id
             )
-            rows.append(("compact", None, None, False))
+            rows.append(_COMPACTED)
             force = replace(force, generation=batch_id)
-        self.store.commit(spark, batch_id, rows)
+        refits = len({(kind, node) for kind, node, *_ in rows if kind == "local" or node == LEVEL1})
+        self.store.note(spark, batch_id, arrived, *used, refits)
+        self.store.commit(spark, batch_id, rows, force)
         return force
 
     def _state(self, spark: SparkSession, force: InForce, batch_id: int) -> DataFrame:
@@ -158,7 +182,8 @@ class TopicMaintainer:
             counts[key] = counts.get(key, 0) + row["documents"]
         return counts
 
-    def _route(self, docs: DataFrame, force: InForce, batch_id: int) -> None:
+    def _route(self, docs: DataFrame, force: InForce, batch_id: int) -> int:
+        """Write the documents of a batch under their slots, and say how many came."""
         config = self.config
         placed = assign(docs, self.store.model(force.level1)).persist(
             StorageLevel.MEMORY_AND_DISK
@@ -185,19 +210,32 @@ class TopicMaintainer:
             # as many files as the batch has partitions, not one for each branch of each
             files = max(1, placed.rdd.getNumPartitions())
             self.store.write_state(state.coalesce(files), force.generation, batch_id)
+            return placed.count()
         finally:
             placed.unpersist()
 
     # -- refits ----------------------------------------------------------------------
 
     def _refit_all(
-        self, spark: SparkSession, training: DataFrame, retained: DataFrame, batch_id: int
+        self, spark: SparkSession, state: DataFrame, trained: Sequence[str], batch_id: int
     ) -> tuple[InForce, list[tuple]] | None:
-        """Fit the hierarchy on ``training`` and start a generation with ``retained``.
+        """Fit the hierarchy on the slots ``trained`` and start a generation.
 
-        Retained documents get their cluster under the new model; the global container is
-        empty afterwards. Without anything to divide the old model stays: None.
+        Other documents than those of the global container get their cluster under the new
+        model and stay. The state, a ranking of all that is stored, is evaluated once, into a
+        table that is deleted afterwards. Without anything to divide the old model stays: None.
         """
+        with staged(state, "refit") as state:
+            return self._fitted(
+                spark,
+                retention.merge_slots(state, *trained),
+                retention.merge_slots(state, "boot", "local", "warehouse"),
+                batch_id,
+            )
+
+    def _fitted(
+        self, spark: SparkSession, training: DataFrame, retained: DataFrame, batch_id: int
+    ) -> tuple[InForce, list[tuple]] | None:
         config = self.config
         path = self.store.model_path(batch_id)
         fitted = fit_hierarchy(
@@ -238,10 +276,16 @@ class TopicMaintainer:
         self, spark: SparkSession, force: InForce, node: int, batch_id: int
     ) -> tuple[InForce, list[tuple]]:
         """Refit level 2 of one cluster on its container and warehouse, empty the container."""
-        config = self.config
-        training = retention.merge_slots(
+        members = retention.merge_slots(
             self._state(spark, force, batch_id), "local", "warehouse"
         ).where(F.col("cluster") == node)
+        with staged(members, "refit") as training:
+            return self._fitted_node(spark, force, node, training, batch_id)
+
+    def _fitted_node(
+        self, spark: SparkSession, force: InForce, node: int, training: DataFrame, batch_id: int
+    ) -> tuple[InForce, list[tuple]]:
+        config = self.config
         path = self.store.model_path(batch_id, node)
         space = fit_features(training, config.level2.vocab_size, config.level2.min_df)
         model = fit_space(training, space, config.level2, partitions=config.partitions)
@@ -275,14 +319,16 @@ def maintain_topics(
     checkpoint: str | None = None,
     interval: str | None = "1 second",
     available_now: bool = False,
+    key: Column | None = None,
 ) -> StreamingQuery:
     """Start the stream on tagged lines (``value``); ``path`` holds state and models.
 
-    A restart with the same checkpoint resumes behind the last finished batch.
+    ``key`` names a document by its line, so that it can be told apart and followed. A restart with the same checkpoint resumes behind the last finished batch.
     """
     spark = lines.sparkSession
     maintainer = TopicMaintainer(spark, path, config)
-    words = line_words(lines, stop_words=config.stop_words).select("words")
+    found = line_words(lines, stop_words=config.stop_words)
+    words = found.select("words") if key is None else found.select("words", key.alias("key"))
     writer = words.writeStream.foreachBatch(maintainer.process).option(
         "checkpointLocation", checkpoint or f"{path.rstrip('/')}/checkpoint"
     )
