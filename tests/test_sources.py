@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators.word_maps import finish_export, join_by_position, keep_vocabulary
-from tidings.plans import jobs
+from tidings.plans import jobs, tables
 from tidings.session import small_side, spread
 from tidings.sources import readers, replay, sinks
 from tidings.sources.position import index_rows, positional_lines
@@ -177,3 +177,73 @@ def test_size_checks(spark):
     assert not hinted(small_side(frame, 9))
     assert spread(spark.range(0, 10, 1, 2)).rdd.getNumPartitions() == 8
     assert spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20
+
+
+def test_articles_are_cleaned_once(spark, tmp_path, monkeypatch):
+    """Sorting samples its input; what is costly must lie behind it."""
+    rows = [(f"Timestamp: 2024010112{i:04d}\nTitle: t{i}\nText: some words here",) for i in range(200)]
+    rows += [("Timestamp: never\nTitle: t\nText: x",), ("",), (None,), ("Timestamp: 20240101120000\nTitle: t",)]
+    cleaned = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counting(value):
+        cleaned.add(1)
+        return value
+
+    monkeypatch.setattr(jobs.text, "clean_article", lambda column: counting(column))
+    files = spark.createDataFrame(rows, "value STRING").withColumn(
+        "file_path", F.monotonically_increasing_id().cast("string")
+    )
+    found = jobs.ordered_articles(files)
+    sinks.write_tagged(found, str(tmp_path / "out"), ordered=True)
+    lines = positional_lines(spark, str(tmp_path / "out")).orderBy("id").collect()
+    good = [i for i in range(200) if i % 100 < 60 and i < 6000]
+    assert len(lines) == len(good) == cleaned.value  # rejected ones are not cleaned at all
+    assert [r["value"] for r in lines] == sorted(r["value"] for r in lines)
+
+
+def test_packed_articles(spark, tmp_path):
+    """Files of many articles give what files of one article give, whatever the blocks."""
+    texts = [f"Timestamp: 20240101120{i:03d}\nTitle: t{i}\nText: word{i}\nmore" for i in range(50)]
+    for k in range(2):
+        (tmp_path / f"part-{k}").write_text("\x1e".join(texts[k::2]) + "\x1e")
+    for size in ("134217728", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = readers.read_packed_articles(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(r["value"] for r in found) == sorted(texts)
+        assert len({r["file_path"] for r in found}) == 50
+        for k in range(2):
+            own = sorted((r["file_path"], r["value"]) for r in found if f"part-{k}#" in r["file_path"])
+            assert [v for _, v in own] == texts[k::2]
+
+
+def test_tables_are_shown_together(spark, tmp_path, monkeypatch):
+    """A crash between the writes leaves the earlier version; the next attempt replaces it."""
+    path = str(tmp_path / "tables")
+    topics = lambda n: spark.createDataFrame([(f"m{n}", f"s{n}"), (f"m{n}", f"s{n}")], "MainTopic STRING, SubTopic STRING")  # noqa: E731,E501
+    costs = lambda n: spark.createDataFrame([(n, float(n))], "cluster INT, cost DOUBLE")
+    with pytest.raises(ValueError, match="nothing"):
+        tables.read_table(spark, path, "pairs")
+    assert tables.publish_tables(topics(1), costs(1), path) == 1
+
+    def broken(_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(tables, "topic_pairs", broken)
+    with pytest.raises(RuntimeError):
+        tables.publish_tables(topics(2), costs(2), path)
+    monkeypatch.undo()
+    assert tables.shown_version(spark, path) == 1
+    assert tables.read_table(spark, path, "topics").first()["MainTopic"] == "m1"
+    for n in (3, 4):
+        tables.publish_tables(topics(n), costs(n), path)
+    assert tables.shown_version(spark, path) == 3
+    assert [tuple(r) for r in tables.read_table(spark, path, "pairs").collect()] == [("m4", "s4")]
+    assert tables.read_table(spark, path, "costs", 2).first()["cost"] == 3.0
+    with pytest.raises(Exception):
+        tables.read_table(spark, path, "costs", 1).collect()
+    with pytest.raises(ValueError, match="none of"):
+        tables.read_table(spark, path, "other")

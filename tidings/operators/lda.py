@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.functions import text
 from tidings.operators.features import FeatureSpace, fit_features, fit_features_by_group
 from tidings.operators.fits import in_parallel, lay_out
-from tidings.session import small_side, stage
+from tidings.session import folder_names, small_side, stage
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,9 @@ class LdaLevel:
     params: LdaParams
 
     def distributions(self, df: DataFrame, words: str = "words") -> DataFrame:
-        """``df`` with the ``topic_dist`` array of each document."""
+        """``df`` with the ``topic_dist`` array of each document, NULL without a model."""
+        if self.model is None:
+            return df.withColumn("topic_dist", F.lit(None).cast("array<double>"))
         counted = self.space.counter(words, "_tf").transform(text.filled(df, words))
         return (
             self.model.transform(counted)
@@ -155,6 +158,17 @@ class LdaLevel:
             self.space.counter(output="_tf").write().overwrite().save(f"{path}/tf")
             self.model.write().overwrite().save(f"{path}/lda")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, params: LdaParams) -> "LdaLevel":
+        """A saved level; a folder without a model stands for a topic without vocabulary.
+
+        The vocabulary is all that is needed to apply a model: counts of it are not kept.
+        """
+        if "lda" not in folder_names(spark, path):
+            return cls(FeatureSpace([], [], [], [], 0), None, params)
+        terms = CountVectorizerModel.load(f"{path}/tf").vocabulary
+        return cls(FeatureSpace(terms, [], [], [], 0), LocalLDAModel.load(f"{path}/lda"), params)
+
 
 def term_names(indices: Column | str, terms: Sequence[str]) -> Column:
     """Vocabulary positions as terms; the vocabulary is as long as its size parameter."""
@@ -222,6 +236,38 @@ class LdaHierarchy:
     members: DataFrame
     topics: DataFrame
 
+    @classmethod
+    def load(
+        cls, spark: SparkSession, path: str, params: tuple[LdaParams, LdaParams] = LDA_LEVELS
+    ) -> "LdaHierarchy":
+        """What ``fit_lda_hierarchy`` stored below ``path``."""
+        first, second = params
+        names = [n for n in folder_names(spark, f"{path}/secondLevel") if n.startswith("topic=")]
+        level1 = LdaLevel.load(spark, f"{path}/firstLevel", first)
+        level2 = {
+            int(n.split("=")[1]): LdaLevel.load(spark, f"{path}/secondLevel/{n}", second) for n in names
+        }
+        tables = (spark.read.parquet(f"{path}/{t}") for t in ("members", "topics"))
+        return cls(level1, dict(sorted(level2.items())), *tables)
+
+    def apply(self, df: DataFrame, key: str = "doc_id", words: str = "words") -> DataFrame:
+        """``key, topic, probability, subtopic_dist`` of new documents.
+
+        A document has a row for each topic it belongs to. ``subtopic_dist`` is NULL under topics
+        that have no model of their own.
+        """
+        least = self.level1.params.min_probability
+        members = membership(self.level1.distributions(df.select(key, words), words), least)
+        parts = [
+            level.distributions(members.where(F.col("topic") == topic), words)
+            for topic, level in self.level2.items()
+        ]
+        others = members.where(~F.col("topic").isin(list(self.level2)))
+        found = LdaLevel(self.level1.space, None, self.level1.params).distributions(others)
+        for part in parts:
+            found = found.unionByName(part)
+        return found.select(key, "topic", "probability", F.col("topic_dist").alias("subtopic_dist"))
+
 
 def fit_lda_hierarchy(
     df: DataFrame,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import text
 from tidings.operators import clusters, features, fits, labels, lda, retention, skipgram, word_maps
-from tidings.plans import jobs
+from tidings.plans import jobs, tables
 from tidings.session import spread, stage, work_dir
 from tidings.sources import readers, sinks
 from tidings.sources import replay as replays
@@ -849,6 +849,72 @@ def line_scan(spark, sf_dir):
     return fields.select("id", "timestamp", "title", F.length("content").alias("content_chars"))
 
 
+@query
+def article_scan(spark, sf_dir):
+    """Article files to the sorted file of tagged lines, read back by position."""
+    path = work_dir(spark, "articles")
+    packed = articles(spark, sf_dir).select("value")
+    packed.write.option("lineSep", "\x1e").text(f"{path}/in")
+    jobs.preprocess_articles(spark, f"{path}/in", f"{path}/out", packed="\x1e")
+    return text.tagged_fields(positional_lines(spark, f"{path}/out"))
+
+
+@query
+def topic_tables(spark, sf_dir):
+    """Topics, pairs and costs published twice; rows of the second version, read back."""
+    path = work_dir(spark, "tables")
+    main, sub = labels.label_two_levels(
+        words(spark, sf_dir, "source", "lang").select(
+            "doc_id", F.col("source").alias("cluster"), F.col("lang").alias("subcluster"), "words"
+        ),
+        labels.LabelParams(4, 20, 1), labels.LabelParams(4, 20, 1),
+    )
+    topics = stage(labels.topic_hierarchy_table(main, sub), "topics")
+    costs = QUERIES["cluster_cost"](spark, sf_dir)
+    tables.publish_tables(topics.where("documents > 5"), costs.limit(0), path)
+    tables.publish_tables(topics, costs, path)
+    pairs, cost = (tables.read_table(spark, path, t) for t in ("pairs", "costs"))
+    listed = tables.read_table(spark, path, "topics")
+    as_text = lambda c: F.col(c).cast("string")
+    return (
+        listed.select(
+            F.lit("topics").alias("part"), F.col("cluster").alias("a"), F.col("subcluster").alias("b"),
+            F.concat_ws("|", "MainTopic", "SubTopic").alias("label"), F.col("documents").cast("double").alias("value"),
+        )
+        .unionByName(pairs.select(
+            F.lit("pairs").alias("part"), F.lit("").alias("a"), F.lit("").alias("b"),
+            F.concat_ws("|", "MainTopic", "SubTopic").alias("label"), F.lit(0.0).alias("value"),
+        ))
+        .unionByName(cost.select(
+            F.lit("costs").alias("part"), as_text("firstLevelClusterIndex").alias("a"),
+            as_text("secondLevelClusterIndex").alias("b"), F.col("TimeStamp").alias("label"),
+            F.round(F.col("firstLevelClusterCost") + F.col("secondLevelClusterCost"), 5).alias("value"),
+        ))
+    )
+
+
+@query
+def lda_reload(spark, sf_dir):
+    """A stored two-level LDA, loaded and applied to the documents it was fitted on."""
+    docs, path = _lda_words(spark, sf_dir), work_dir(spark, "lda")
+    fitted = lda.fit_lda_hierarchy(docs, path)
+    loaded = lda.LdaHierarchy.load(spark, path)
+    found = stage(loaded.apply(docs), "applied")
+    known = fitted.members.select("doc_id", "topic", F.col("probability").alias("fitted"))
+    met = found.join(known, ["doc_id", "topic"], "full")
+    total = F.aggregate("subtopic_dist", F.lit(0.0), lambda a, b: a + b)
+    apart = F.abs(F.col("probability") - F.col("fitted")) > 1e-6
+    checks = {
+        "only_fitted_or_only_applied": F.count_if(F.col("fitted").isNull() | F.col("probability").isNull()),
+        "apart": F.count_if(apart),
+        "topics": F.countDistinct("topic"),
+        "without_subtopics": F.count_if(F.col("subtopic_dist").isNull()),
+        "do_not_add_up": F.count_if((total != 0) & (F.abs(total - 1) > 1e-6)),
+        "documents": F.countDistinct("doc_id"),
+    }
+    return _measures(checks, met)
+
+
 @query
 def export_scan(spark, sf_dir):
     """Label and vector files written from the two-dimensional map and read by position."""

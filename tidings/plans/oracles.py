@@ -497,6 +497,41 @@ ORACLES: dict[str, str] = {
                vec_id::VARCHAR || '.0,0.5' AS vectors
         FROM embeddings
     """,
+    "article_scan": f"""
+        WITH {_REPAIRED},
+        cleaned AS (SELECT *, {_clean("title || ' ' || text")} AS c FROM parsed
+                    WHERE ts IS NOT NULL)
+        SELECT row_number() OVER (ORDER BY ts, doc_id) - 1 AS id, ts AS timestamp, title,
+               trim({_content('c')}) AS content
+        FROM cleaned
+    """,
+    "topic_tables": f"""
+        WITH {_WORDS},
+        {_ranked('source', '20', '1', '1')}, {_labelled('source', 4, '1')},
+        {_ranked('source, lang', '20', '1', '2')}, {_labelled('source, lang', 4, '2')},
+        listed AS (SELECT b.source, b.lang, a.label || '|' || b.label AS label,
+                          (SELECT count(*) FROM documents d
+                           WHERE d.source = b.source AND d.lang = b.lang) AS documents
+                   FROM labels1 a JOIN labels2 b ON a.source = b.source)
+        SELECT 'topics' AS part, source AS a, lang AS b, label, documents::DOUBLE AS value FROM listed
+        UNION ALL SELECT DISTINCT 'pairs', '', '', label, 0.0 FROM listed
+        UNION ALL SELECT 'costs', "firstLevelClusterIndex"::VARCHAR, "secondLevelClusterIndex"::VARCHAR,
+               "TimeStamp", round("firstLevelClusterCost" + "secondLevelClusterCost", 5) FROM costs
+    """,
+    "lda_reload": f"""
+        WITH {_LDA},
+        split AS (SELECT doc_id, {_split('c')} AS w FROM cleaned),
+        tok AS (SELECT doc_id, unnest(w) AS term FROM split),
+        kept AS (SELECT * FROM tok WHERE term NOT IN ({_STOP})),
+        vocab AS (SELECT term FROM kept GROUP BY term ORDER BY count(*) DESC, term LIMIT 20)
+        SELECT 'only_fitted_or_only_applied' AS measure, 0 AS value
+        UNION ALL SELECT 'apart', 0
+        UNION ALL SELECT 'topics', 3
+        UNION ALL SELECT 'without_subtopics', 0
+        UNION ALL SELECT 'do_not_add_up', 0
+        UNION ALL SELECT 'documents', count(DISTINCT doc_id) FROM kept
+                  WHERE term IN (SELECT term FROM vocab)
+    """,
     "export_map": """
         SELECT 'labels' AS measure, count(*) AS value FROM embeddings
         UNION ALL SELECT 'positions', count(*) FROM embeddings
@@ -529,6 +564,9 @@ ORACLES: dict[str, str] = {
     """,
 }
 
+ORACLES["topic_tables"] = ORACLES["topic_tables"].replace(
+    "listed AS (", f"costs AS ({ORACLES['cluster_cost']}),\n        listed AS (", 1
+)
 ORACLES["vocabulary_sink"] = (
     f"SELECT term, count(*) AS groups FROM ({ORACLES['vocabulary_by_group']}) GROUP BY term"
 )

@@ -25,6 +25,26 @@ def read_articles(
     return _at_least(files, min_partitions)
 
 
+def read_packed_articles(
+    spark: SparkSession, path: str, separator: str = "\x1e", min_partitions: int | None = None
+) -> DataFrame:
+    """Many articles in a file, each ended by ``separator``: ``value``, ``file_path``.
+
+    Corpora of many small files are packed like this before they are read at scale; blocks
+    of one file go to several tasks. ``file_path`` also names the place in the file, so that it
+    stays unique and orders articles as they stand in it.
+    """
+    lines = spark.read.option("lineSep", separator).text(path)
+    # the low bits number rows in a block; the block is named by its own start
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.concat_ws(
+        "-", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
+        F.lpad(row.cast("string"), 12, "0"),
+    )
+    named = F.concat(F.col("_metadata.file_path"), F.lit("#"), place)
+    return _at_least(lines.select("value", named.alias("file_path")), min_partitions)
+
+
 def read_lines(
     spark: SparkSession, path: str, min_partitions: int | None = None
 ) -> DataFrame:
