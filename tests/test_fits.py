@@ -1,3 +1,5 @@
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -195,6 +197,28 @@ def test_groups_are_projected_as_one_by_one(spark):
     assert placed[placed["grp"] == "one"][["x", "y"]].to_numpy().tolist() == [[0.0, 0.0]]
 
 
+def test_stored_lda_hierarchy_is_applied(spark, tmp_path):
+    """A topic whose folder holds no model gives NULL; other documents can be asked about."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 6, 20)]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id INT, words ARRAY<STRING>")
+    params = tuple(lda.LdaParams(k=2, max_iter=5, vocab_size=12) for _ in range(2))
+    path = str(tmp_path / "lda")
+    fitted = lda.fit_lda_hierarchy(docs, path, params)
+    loaded = lda.LdaHierarchy.load(spark, path, params)
+    assert set(loaded.level2) == set(fitted.level2)
+    assert loaded.level1.space.terms == fitted.level1.space.terms
+    assert loaded.members.count() == fitted.members.count() == loaded.apply(docs).count()
+    shutil.rmtree(f"{path}/secondLevel/topic=1")
+    fresh = docs.limit(4).union(spark.createDataFrame([(90, None), (91, ["new"])], docs.schema))
+    found = lda.LdaHierarchy.load(spark, path, params).apply(fresh).collect()
+    assert {r["subtopic_dist"] is None for r in found if r["topic"] == 1} <= {True}
+    assert all(sum(r["subtopic_dist"]) == pytest.approx(1) for r in found if r["topic"] == 0)
+    nothing = lda.LdaLevel.load(spark, f"{path}/none", params[0])
+    assert nothing.model is None
+    assert {r["topic_dist"] for r in nothing.distributions(docs).collect()} == {None}
+
+
 def test_steps_equal_a_plain_loop(monkeypatch):
     """One step of the trainer, pair by pair."""
     monkeypatch.setattr(skipgram, "STEP", 2)

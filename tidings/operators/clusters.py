@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -53,10 +54,11 @@ def with_distance(
     )
 
 
-def centre_blocks(df: DataFrame, centres: DataFrame, cluster: str, vector: str) -> int:
+def centre_blocks(centres: DataFrame) -> int:
     """In how many parts the centres have to be so that a task can hold one of them."""
-    width = df.agg(F.max(F.size(F.col(vector)))).first()[0] or 1
-    return -(-centres.count() * max(width, 1) // MAX_CENTRE_VALUES) or 1
+    size = F.count("centre").alias("rows"), F.max(F.size("centre")).alias("width")
+    held = centres.agg(*size).first()
+    return -(-held["rows"] * max(held["width"] or 1, 1) // MAX_CENTRE_VALUES) or 1
 
 
 def collect_centres(centres: DataFrame, cluster: str = "cluster"):
@@ -100,7 +102,8 @@ def nearest_centroid(
     for each, and the best so far is kept. A vector that is NULL or holds a NULL or NaN has
     no closest centre: both columns are NULL, as they are without any centre.
     """
-    blocks = centre_blocks(df, centres, cluster, vector)
+    centres = stage(centres.select(cluster, "centre"), "centres")  # evaluated once
+    blocks = centre_blocks(centres)
     kept = [c for c in df.columns if c not in (cluster, "distance")]
     found = df.select(*kept, F.lit(None).cast(_NEAR).alias("_near"))
     for block in range(blocks):
@@ -122,30 +125,40 @@ _NEAR = "struct<cluster: int, distance: double>"
 _STEP_VALUES = 4_000_000
 
 
+def _matrix(batch: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows hold a vector without NULL and NaN, and these vectors as one matrix."""
+    lengths = pc.fill_null(pc.list_value_length(batch), -1).to_numpy(zero_copy_only=False)
+    there = lengths >= 0
+    flat = batch.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    gaps = np.append(0, np.cumsum(np.isnan(flat)))
+    ends = np.cumsum(lengths[there])
+    usable = there.copy()
+    usable[there] = gaps[ends] == gaps[ends - lengths[there]]
+    if (lengths[usable] != width).any():
+        raise ValueError("vector and centre differ in length")
+    if not usable[there].all():
+        flat = flat[np.repeat(usable[there], lengths[there])]
+    return usable, flat.reshape(-1, width)
+
+
 def _nearer(df: DataFrame, ids: np.ndarray, matrix: np.ndarray, vector: str) -> DataFrame:
     """Update ``_near`` where one of the given centres is closer."""
     if not len(ids):
         return df
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    @F.pandas_udf(_NEAR)
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_NEAR)
+    def closest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, points = shared.value
         for batch in batches:
-            usable = [
-                i
-                for i, v in enumerate(batch)
-                if v is not None and not np.isnan(np.asarray(v, np.float64)).any()
-            ]
-            name = pd.array([None] * len(batch), dtype="Int32")
-            distance = np.full(len(batch), np.nan)
-            if usable:
-                wanted = {len(batch.iloc[i]) for i in usable}
-                if wanted != {points.shape[1]}:
-                    raise ValueError("vector and centre differ in length")
-                vectors = np.stack([batch.iloc[i] for i in usable]).astype(np.float64)
-                name[usable], distance[usable] = closest_of(vectors, known, points)
-            yield pd.DataFrame({"cluster": name, "distance": distance})
+            usable, vectors = _matrix(batch, points.shape[1])
+            name = np.zeros(len(batch), np.int32)
+            distance = np.zeros(len(batch))
+            name[usable], distance[usable] = closest_of(vectors, known, points)
+            yield pa.StructArray.from_arrays(
+                [pa.array(name, mask=~usable), pa.array(distance, mask=~usable)],
+                ["cluster", "distance"],
+            )
 
     new, old = F.col("_new"), F.col("_near")
     closer = old.isNull() | (new["distance"] < old["distance"]) | (
