@@ -128,12 +128,13 @@ def test_exact_groups(spark, weak):
 
 
 def test_chunks_follow_content(spark):
-    sentences = [f"Sentence {i} says {i * i}." for i in range(400)]
+    rng = random.Random(4)
+    sentences = [f"Sentence {i} says {'so ' * rng.randint(0, 40)}{i * i}." for i in range(3000)]
     text, moved = " ".join(sentences), " ".join(sentences[7:])
     rows = spark.createDataFrame([(text,), (moved,), ("z" * 10_000,)], "text STRING")
     cut = [r[0] for r in rows.select(recipes.chunks(F.col("text"))).collect()]
     assert ["".join(c) for c in cut] == [text, moved, "z" * 10_000]
-    assert len(set(cut[0]) & set(cut[1])) >= 0.5 * len(cut[0]) or len(cut[0]) > 5
+    assert len(cut[0]) > 20 and len(set(cut[0]) & set(cut[1])) >= 0.9 * len(cut[0])
     assert max(map(len, cut[2])) <= 4096
 
 
@@ -221,5 +222,6 @@ def test_scores_of_a_table(spark, labelled):
     assert len(found) == 202 and all(0 <= r["score"] <= 1 for r in found)
     assert all(r["predicted"] == int(r["score"] >= 0.5) and r["label"] == "k" for r in found)
     nothing = toxicity.fit(docs, table.where("doc_id < 0"))
-    assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.0} or True
+    scores = [r["score"] for r in toxicity.score(docs, nothing).collect()]
+    assert max(scores) - min(scores) < 1e-5  # the base rate, up to rounding
     assert toxicity.score(docs.where("doc_id < 0"), network).count() == 0

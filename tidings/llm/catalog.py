@@ -75,19 +75,36 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_log(conversations: DataFrame) -> DataFrame:
-    """The log of finished conversations: each row is one delta of a message of its own.
+    """The log that a chat service would have kept of finished conversations.
 
-    Rows are numbered by turn; equal turns by role and text, so that none is lost.
+    Messages are numbered by turn; equal turns by role and text, so that none is lost. A user's
+    message is a draft that an edit replaces. Any other is streamed: a first attempt is given up
+    for a regeneration, whose text comes in two deltas. Folding the log gives the stored texts.
     """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select(
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft = F.concat(F.lit("draft "), F.substr(text, F.lit(1), F.least(half, F.lit(40))))
+    typed = F.array(event("delta", draft), event("edit", text))
+    streamed = F.array(
+        event("delta", draft),
+        event("regenerate", F.lit("")),
+        event("delta", F.substr(text, F.lit(1), half)),
+        event("delta", F.substr(text, half + 1)),
+    )
+    numbered = conversations.select(
         "conv_id",
         F.row_number().over(order).alias("message"),
-        F.row_number().over(order).cast("long").alias("seq"),
         "role",
-        F.lit("delta").alias("kind"),
-        "text",
+        F.when(F.col("role") == "user", typed).otherwise(streamed).alias("events"),
     )
+    return numbered.select(
+        "conv_id", "message", "role", F.posexplode("events").alias("place", "event")
+    ).select(
+        "conv_id", "message", (F.col("message") * 4 + F.col("place")).cast("long").alias("seq"),
+        "role", "event.kind", "event.text",
+    )
 
 
 @query
