@@ -29,6 +29,7 @@ from tidings.operators.labels import (
     label_two_levels,
     topic_hierarchy_table,
 )
+from tidings.session import remove
 
 # Rows of a partition in the layout of a fit.
 LAYOUT_ROWS = 8192
@@ -284,6 +285,7 @@ def fit_hierarchy(
         f"{path}/assigned"
     )
     assigned = spark.read.schema(assigned.schema).parquet(f"{path}/assigned")
+    remove(spark, f"{path}/level1")  # the assignments hold it all
 
     main, sub = label_two_levels(
         assigned, label_params(first), label_params(second), words=words

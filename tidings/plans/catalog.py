@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -931,10 +932,11 @@ def export_scan(spark, sf_dir):
 
 @query
 def export_map(spark, sf_dir):
-    """Both coordinates of the real map through label and vector files, joined by position.
+    """Both coordinates of the real map through label and vector files and the export job.
 
-    Files are read back, matched by line and finished; each label must carry the coordinates
-    that the projection gave it, and no label may be missing, moved or there twice.
+    Files are read by line, matched by position, finished with the vocabulary of a file, stored
+    and read again; each label must carry the coordinates that the projection gave it, and no
+    label may be missing, moved or there twice.
     """
     path = work_dir(spark, "export")
     placed = stage(
@@ -944,8 +946,10 @@ def export_map(spark, sf_dir):
         "map",
     )
     sinks.write_word_map_text(placed, path)
-    read = readers.read_export(spark, f"{path}/labels", f"{path}/vectors")
-    finished = word_maps.finish_export(*read)
+    placed.select(F.concat(F.lit("["), "word", F.lit("]"))).write.text(f"{path}/vocabulary")
+    finished = jobs.export(
+        spark, f"{path}/labels", f"{path}/vectors", f"{path}/finished", f"{path}/vocabulary"
+    )
     parts = F.transform(F.split("vectors", ","), lambda v: v.cast("double"))
     met = placed.join(finished.withColumn("xy", parts), F.col("word") == F.col("labels"), "full")
     moved = (F.abs(F.col("x") - F.col("xy")[0]) > 1e-12) | (F.abs(F.col("y") - F.col("xy")[1]) > 1e-12)
@@ -1004,6 +1008,20 @@ STREAM_LIMIT = 100
 STREAM_SLICES = 5
 
 
+def _arriving(
+    spark: SparkSession, sf_dir: str, batches: int
+) -> tuple[int, Callable[[int], DataFrame]]:
+    """Documents in order of their ids, in batches of equal size: that size, and each batch.
+
+    Only ids are ordered and stored; the words of a batch are derived as it arrives.
+    """
+    ids = documents(spark, sf_dir).select("doc_id")
+    size = -(-ids.count() // batches)
+    slices = stage(replays.slices(ids, "doc_id", size=size).select("doc_id", "slice"), "slices")
+    docs = words(spark, sf_dir).withColumn("key", F.col("doc_id").cast("string"))
+    return size, lambda batch: docs.join(slices.where(F.col("slice") == batch), "doc_id", "left_semi")
+
+
 @query
 def stream_refits(spark, sf_dir):
     """A topic stream whose containers fill up, checked behind every batch.
@@ -1012,9 +1030,7 @@ def stream_refits(spark, sf_dir):
     topics, the third fits a topic but no subtopic, and two fit both. Limits and retention are
     100. Counts come from the ledger, the rest from the state behind each batch.
     """
-    docs = stage(words(spark, sf_dir).withColumn("key", F.col("doc_id").cast("string")), "words")
-    size = -(-docs.count() // STREAM_SLICES)
-    sliced = stage(replays.slices(docs, "doc_id", size=size), "slices")
+    size, arriving = _arriving(spark, sf_dir, STREAM_SLICES)
     base = StreamConfig(
         level1=replace(fits.FIXED[0], k=2), level2=fits.FIXED[1], bootstrap=2,
         global_limit=STREAM_LIMIT, local_limit=STREAM_LIMIT, warehouse_limit=STREAM_LIMIT,
@@ -1027,7 +1043,7 @@ def stream_refits(spark, sf_dir):
     store, seen = maintainer.store, []
     for batch_id, (first, second) in enumerate(phases):
         maintainer.config = replace(base, threshold1=first, threshold2=second)
-        maintainer.process(sliced.where(F.col("slice") == batch_id), batch_id)
+        maintainer.process(arriving(batch_id), batch_id)
         force = store.in_force(spark, batch_id + 1)
         state = store.state(spark, force, batch_id, STREAM_LIMIT)
         seen.append(stage(
@@ -1066,6 +1082,53 @@ def stream_refits(spark, sf_dir):
     return rows.unionByName(counted).unionByName(twice)
 
 
+@query
+def stream_bootstrap(spark, sf_dir):
+    """Documents gather over two batches before the first fit, then a third is routed.
+
+    Where documents are behind each batch, by slot; the fit belongs to the second.
+    """
+    size, arriving = _arriving(spark, sf_dir, 3)
+    config = StreamConfig(
+        level1=fits.FIXED[0], level2=fits.FIXED[1], threshold1=1e12, threshold2=1e12,
+        bootstrap=2 * size, global_limit=1 << 40, local_limit=1 << 40, warehouse_limit=1 << 30,
+    )
+    maintainer = TopicMaintainer(spark, work_dir(spark, "stream"), config)
+    store, seen = maintainer.store, []
+    for batch_id in range(3):
+        maintainer.process(arriving(batch_id), batch_id)
+        state = store.state(spark, store.in_force(spark, batch_id + 1), batch_id, 1 << 30)
+        slot = F.when(F.col("slot") == "boot", "boot").otherwise("placed")
+        seen.append(state.select(F.lit(batch_id).alias("behind"), slot.alias("slot"), "key", "model_version"))
+    return retention.append(*seen).groupBy("behind", "slot").agg(
+        F.countDistinct("key").alias("documents"),
+        F.coalesce(F.min("model_version"), F.lit(-1)).alias("version"),
+    )
+
+
+@query
+def topic_views(spark, sf_dir):
+    """Results as views, asked in SQL: documents of each source beside its vocabulary.
+
+    The view of records starts from an empty frame of their schema, as a stream does.
+    """
+    found = words(spark, sf_dir, "source")
+    none = readers.empty_records(spark).select("doc_id", "words", F.lit("").alias("source"))
+    records = none.unionByName(found.select("doc_id", "words", "source"))
+    name = f"v{uuid.uuid4().hex}"
+    sinks.register_views({
+        f"{name}_records": records,
+        f"{name}_terms": features.vocabulary(found, ["source"], vocab_size=20, min_df=1),
+    })
+    return spark.sql(f"""
+        SELECT r.source, r.documents, r.tokens, t.terms, t.best
+        FROM (SELECT source, count(*) AS documents, sum(size(words)) AS tokens
+              FROM {name}_records GROUP BY source) r
+        JOIN (SELECT source, count(*) AS terms, max(CASE WHEN rank = 0 THEN term END) AS best
+              FROM {name}_terms GROUP BY source) t ON t.source = r.source
+    """)
+
+
 @query
 def stream_resume(spark, sf_dir):
     """Tagged lines in files through Structured Streaming, killed half-way and resumed.
@@ -1120,6 +1183,8 @@ def stream_resume(spark, sf_dir):
     run(lambda batch_id: None)
     store = TopicStore(spark, f"{path}/topics")
     state = store.state(spark, store.in_force(spark, 1 << 40), 1 << 40, config.warehouse_limit)
-    return state.groupBy("key", "slot").agg(
+    # a leaf of the hierarchy has no subtopic to fit: its documents are in its container
+    slot = F.when(F.col("slot").isin("local", "warehouse"), "placed").otherwise(F.col("slot"))
+    return state.groupBy("key", slot.alias("slot")).agg(
         F.count("*").alias("times"), F.count("cluster").alias("clusters")
     )

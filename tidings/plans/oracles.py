@@ -558,8 +558,26 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'without_cluster', 0
         UNION ALL SELECT 'keys_twice', 0
     """,
+    "stream_bootstrap": """
+        WITH size AS (SELECT count(*) AS n, (count(*) + 2) // 3 AS b FROM documents)
+        SELECT 0 AS behind, 'boot' AS slot, b AS documents, -1::BIGINT AS version FROM size
+        UNION ALL SELECT 1, 'placed', 2 * b, 1 FROM size
+        UNION ALL SELECT 2, 'placed', n, 1 FROM size
+    """,
+    "topic_views": f"""
+        WITH {_WORDS},
+        sizes AS (SELECT source, count(*) AS documents, sum(len(words))::BIGINT AS tokens
+                  FROM docs GROUP BY source),
+        counts AS (SELECT source, term, count(*) AS n FROM tok GROUP BY source, term),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS place
+                   FROM counts)
+        SELECT s.source, s.documents, s.tokens, count(*) AS terms,
+               max(CASE WHEN place = 1 THEN term END) AS best
+        FROM sizes s JOIN ranked r ON r.source = s.source AND place <= 20
+        GROUP BY s.source, s.documents, s.tokens
+    """,
     "stream_resume": """
-        SELECT doc_id::VARCHAR AS key, 'warehouse' AS slot, 1 AS times, 1 AS clusters
+        SELECT doc_id::VARCHAR AS key, 'placed' AS slot, 1 AS times, 1 AS clusters
         FROM documents
     """,
 }

@@ -32,7 +32,7 @@ from tidings.operators.fits import (
 )
 from tidings.operators.labels import label_groups
 from tidings.plans.jobs import line_words
-from tidings.session import staged
+from tidings.session import remove, staged
 from tidings.streaming.store import InForce, TopicStore
 
 
@@ -259,6 +259,8 @@ class TopicMaintainer:
         )
         snapshot = retention.append(again.where(F.col("slot") == "local"), stored)
         self.store.write_state(snapshot, batch_id, batch_id)
+        # the models and labels are kept, their documents are in the snapshot
+        remove(spark, f"{self.store.path}/{path}/assigned")
 
         nodes = {
             node: None if model.pipeline is None else f"{path}/secondLevel/node={node}"
