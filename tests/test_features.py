@@ -131,3 +131,27 @@ def test_two_levels_share_the_scan(spark, small, tmp_path):
         labels.label_groups_fixed(docs, ["cluster", "subcluster"]),
     )
     assert sorted(pairs.collect()) == sorted(labels.topic_pairs(apart).collect())
+
+
+def test_a_hot_group_among_many(spark, monkeypatch):
+    """Above the number of groups that may be broadcast, a hot one is not sent to one task."""
+    rows = [(i, "hot", [f"t{(i * 7 + k) % 900}" for k in range(9)]) for i in range(1200)]
+    rows += [(9000 + i, f"g{i}", [f"t{i}", f"t{i + 1}"]) for i in range(300)]
+    rows += [(20_000, None, ["x", "y"]), (20_001, "none", [])]
+    docs = spark.createDataFrame(rows, "doc_id INT, grp STRING, words ARRAY<STRING>")
+    expected = features.vocabulary(docs, ["grp"], vocab_size=5, min_df=1).collect()
+    monkeypatch.setattr(features, "few_groups", lambda *_: False)
+    monkeypatch.setattr(grouping, "HOT_ROWS", 500)
+    found = features.vocabulary(docs, ["grp"], vocab_size=5, min_df=1).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, expected), key=repr)
+
+    terms = features.term_rows(docs, ["grp"], "words").repartition(8).where("df > 0")
+    totals = features._group_totals(features.term_rows(docs, ["grp"], "words"), ["grp"])
+    joined = grouping.join_many_groups(terms, totals, ["grp"], F.col("distinct_tokens"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 900 + 600 + 2
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]

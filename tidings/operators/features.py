@@ -17,7 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.functions import text
-from tidings.operators.grouping import few_groups, first_per_group, join_groups
+from tidings.operators.grouping import (
+    few_groups,
+    first_per_group,
+    join_groups,
+    join_many_groups,
+)
 
 _ALL = "_all"
 
@@ -135,9 +140,11 @@ def describe_groups(
     but one.
     """
     totals = _group_totals(terms, keys)
-    known = join_groups(
-        terms.where(F.col("df") > 0), F.broadcast(totals) if few else totals, keys
-    )
+    listed = terms.where(F.col("df") > 0)
+    if few:
+        known = join_groups(listed, F.broadcast(totals), keys)
+    else:  # a term's row stands for at least one distinct token of a document
+        known = join_many_groups(listed, totals, keys, F.col("distinct_tokens"))
     if min_df is None:
         floor = F.floor(F.col("documents") / 5)
     elif min_df < 1:

@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidings.session import small_side
+
 _SALTS = 64
+#: Rows from which on a group is joined where its rows are, instead of in one task.
+HOT_ROWS = 1_000_000
 
 
 def join_groups(
@@ -26,6 +30,22 @@ def join_groups(
     return left.join(renamed, match, how).drop(*[f"_r_{key}" for key in keys])
 
 
+def join_many_groups(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], rows: Column
+) -> DataFrame:
+    """Inner ``join_groups`` for more groups of ``right`` than may be broadcast.
+
+    ``rows`` is an upper bound, from columns of ``right``, of a group's rows in ``left``. Groups of
+    more than ``HOT_ROWS`` are few, for their rows are counted in ``left``: they are broadcast once
+    their size is checked, and their rows stay where they are. The others are shuffled, and
+    none of them is large.
+    """
+    hot = small_side(right.where(rows > HOT_ROWS))
+    cold = right.where(~F.coalesce(rows > HOT_ROWS, F.lit(False)))
+    small = join_groups(left, hot.select(*keys), keys, "left_anti")
+    return join_groups(left, hot, keys).unionByName(join_groups(small, cold, keys))
+
+
 def few_groups(df: DataFrame, keys: Sequence[str], most: int = 100_000) -> bool:
     """Whether ``keys`` take at most ``most`` values; reads the key columns only."""
     return df.select(*keys).distinct().limit(most + 1).count() <= most
