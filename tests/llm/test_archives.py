@@ -75,5 +75,14 @@ def test_pages(spark, least):
     assert sorted(got, key=key) == sorted(expected, key=key)
 
 
+def test_pages_without_an_id(spark):
+    rows = [(None, "http://a/", "same"), (4, "http://b/", "same"), (None, "http://c/", "two"),
+            (None, "http://d/", "two"), (None, None, None)]
+    found = arc.archive_pages(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING"))
+    got = sorted((r["payload_digest"], r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in found.collect())
+    want = [(digest("same"), 0, "revisit", 4), (digest("same"), 4, "response", 0), (digest(None), 0, "response", 0)]
+    assert got == sorted(want + [(digest("two"), 0, "response", 0)] * 2)
+
+
 def test_no_pages(spark):
     assert arc.archive_pages(spark.createDataFrame([], "page_id LONG, url STRING, html STRING")).count() == 0

@@ -262,7 +262,10 @@ def convert(spark, source: str, target: str, files: int, min_bytes: int = 0) ->
         .where(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest", "payload_bytes")
         .agg(
-            F.min(F.struct("page_id", "record_id", "uri", "date")).alias("first"),
+            # a record without a page id is never the one that others refer to
+            F.min(
+                F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "uri", "date"))
+            ).alias("first"),
         )
         .withColumnsRenamed({"payload_digest": "_digest", "payload_bytes": "_bytes"})
     )
@@ -387,8 +390,9 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Per row of ``page_id, url, html``: ``page_id``, ``payload_bytes``, ``payload_digest``,
     ``record_type`` and ``refers_to``, the page id of the response that a revisit names.
-    NULL html is an empty payload, NULL ids and URLs are kept as such; rows that repeat the
-    smallest id of a payload are all responses. Other columns are not read; an empty table
+    NULL html is an empty payload, NULL ids and URLs are kept as such; a NULL id is never the
+    smallest, and rows without an id are responses unless a row with one has their payload. Rows
+    that repeat the smallest id of a payload are all responses. Other columns are not read; an empty table
     gives no row. Archives lie in the shared folder.
     """
     spark = pages.sparkSession
