@@ -62,3 +62,17 @@ def test_pipeline(spark, tmp_path):
     normal = [" ".join(t.split()) for t in texts if t.split()]
     assert len(normal) == len(set(normal))
     assert labels.where("toxic = 1").count() < toxicity.LEAST
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that the stages use themselves, rows without an id, and repeated ids."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = documents.limit(3).selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars")
+    docs = documents.unionByName(extra).unionByName(documents.limit(2)).selectExpr(
+        "*", "'a' as score", "2 as predicted", "'b' as n_lines", "3L as n_dropped", "'c' as component_id"
+    )
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns
+        own = made.select("score", "predicted", "n_lines", "n_dropped", "component_id").distinct()
+        assert [tuple(r) for r in own.collect()] == [("a", 2, "b", 3, "c")]
