@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -35,6 +36,25 @@ def test_templates():
             licences.compile_template(bad)
 
 
+@pytest.mark.parametrize("label", sorted(licences.LICENSES))
+def test_whole_licenses(label):
+    """Every mandatory word counts, also late in the text; regions may differ."""
+    scanner = licences.Scanner(licences.TEMPLATES, licences.BASE)
+    accepts = lambda t: scanner.automata[label].accept(licences.words(t.encode()), 0)
+    template = licences.LICENSES[label]
+    full = template.replace("<<opt>>", "").replace("<</opt>>", "").replace("<<var 8>>", "the authors or copyright holders")
+    bare = re.sub("<<opt>>.*?<</opt>>", "", template).replace("<<var 8>>", "X")
+    for text in (full, bare, full.lower(), full.replace(",", " ,\n * ")):
+        assert accepts(text) == len(licences.words(text.encode()))
+    words = bare.split()
+    for place in (5, len(words) // 2, len(words) - 3):
+        changed = [*words[:place], "purple", *words[place + 1 :]]
+        assert accepts(" ".join(changed)) is None
+        assert accepts(" ".join(words[:place] + words[place + 1 :])) is None
+    assert accepts(" ".join(words[:-1])) is None
+    assert accepts(full.replace("the authors or copyright holders", "a b c d e f g h i")) is None or "<<var" not in template
+
+
 def test_license_scan(spark):
     rows = [
         (1, "See the MIT License. mit\nLICENSE and the mit-license."),

@@ -29,19 +29,70 @@ BASE = (
     ("general public license", "gpl"),
 )
 
-# Wording of common notices, from the licenses themselves.
+# The whole wording of licenses, with their optional and replaceable regions.
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are"
+    " permitted provided that the following conditions are met: <<opt>>1<</opt>> Redistributions"
+    " of source code must retain the above copyright notice, this list of conditions and the"
+    " following disclaimer. <<opt>>2<</opt>> Redistributions in binary form must reproduce the"
+    " above copyright notice, this list of conditions and the following disclaimer in the"
+    " documentation and/or other materials provided with the distribution."
+)
+_BSD_ENDORSEMENT = (
+    " <<opt>>3<</opt>> Neither the name of <<var 8>> nor the names of its contributors may be"
+    " used to endorse or promote products derived from this software without specific prior"
+    " written permission."
+)
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY <<var 8>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES,"
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR"
+    " A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var 8>> BE LIABLE FOR ANY DIRECT,"
+    " INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT"
+    " LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR"
+    " BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,"
+    " STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF"
+    " THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+LICENSES = {
+    "mit-license": "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    " of this software and associated documentation files <<opt>>(the Software)<</opt>>, to deal"
+    " in the Software without restriction, including without limitation the rights to use, copy,"
+    " modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to"
+    " permit persons to whom the Software is furnished to do so, subject to the following"
+    " conditions: The above copyright notice and this permission notice <<opt>>(including the"
+    " next paragraph)<</opt>> shall be included in all copies or substantial portions of the"
+    " Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,"
+    " INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR"
+    " PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var 8>> BE LIABLE FOR ANY CLAIM, DAMAGES"
+    " OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT"
+    " OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "isc-license": "Permission to use, copy, modify, and/or distribute this software for any"
+    " purpose with or without fee is hereby granted, provided that the above copyright notice"
+    " and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND"
+    " <<var 8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED"
+    " WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var 8>> BE LIABLE FOR ANY"
+    " SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING"
+    " FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER"
+    " TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS"
+    " SOFTWARE",
+    "bsd-2-clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    "bsd-3-clause": _BSD_CONDITIONS + _BSD_ENDORSEMENT + _BSD_DISCLAIMER,
+}
+
+# Wording of common notices; a grant is the opening of its license, no more.
 TEMPLATES = {
+    **LICENSES,
     "mit-notice": "<<opt>>this software is<</opt>> <<var 2>> under the <<opt>>terms of the"
     "<</opt>> MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy"
     " of this software and associated documentation files <<opt>>(the Software)<</opt>>, to"
     " deal in the Software without restriction, including without limitation the rights to"
     " use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the"
     " Software",
-    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any"
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any"
     " purpose with or without fee is hereby granted, provided that the above copyright"
     " notice and this permission notice appear in all copies",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without"
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without"
     " modification, are permitted provided that the following conditions are met",
     "apache-2.0": "Licensed under the Apache License, Version 2.0 <<opt>>(the License)<</opt>>",
     "gpl-2.0": "<<opt>>GNU<</opt>> General Public License <<opt>>as published by the Free"
