@@ -1013,13 +1013,20 @@ def _arriving(
 ) -> tuple[int, Callable[[int], DataFrame]]:
     """Documents in order of their ids, in batches of equal size: that size, and each batch.
 
-    Only ids are ordered and stored; the words of a batch are derived as it arrives.
+    Only ids are ordered; a batch is a range of them, which the scan filters by.
     """
     ids = documents(spark, sf_dir).select("doc_id")
     size = -(-ids.count() // batches)
-    slices = stage(replays.slices(ids, "doc_id", size=size).select("doc_id", "slice"), "slices")
+    slices = replays.slices(ids, "doc_id", size=size).groupBy("slice")
+    ranges = {r["slice"]: r for r in slices.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
     docs = words(spark, sf_dir).withColumn("key", F.col("doc_id").cast("string"))
-    return size, lambda batch: docs.join(slices.where(F.col("slice") == batch), "doc_id", "left_semi")
+
+    def batch(number: int) -> DataFrame:
+        found = ranges.get(number)  # the last ones of a tiny table have no rows
+        within = F.col("doc_id").between(found["low"], found["high"]) if found else F.lit(False)
+        return docs.where(within)
+
+    return size, batch
 
 
 @query
