@@ -196,6 +196,25 @@ def test_lines(spark, monkeypatch):
     assert fuzzy_lines.dedup_lines(docs.where("doc_id < 0")).count() == 0
 
 
+def test_lines_of_rows_without_a_key_of_their_own(spark):
+    """NULL and repeated keys: no unique line is lost, and each repeated one stays once."""
+    rows = [
+        (None, "first unique words\nshared line of several words"),
+        (None, "second other unique\nshared line of several words"),
+        (7, "alpha beta gamma delta\nshared line of several words"),
+        (7, "epsilon zeta eta\nalpha beta gamma delta"), (8, None), (None, ""), (9, "long " * 60_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").selectExpr("*", "'z' as line", "1 as id")
+    found = fuzzy_lines.dedup_lines(docs).collect()
+    assert len(found) == len(rows) and {r["line"] for r in found} == {"z"}
+    left = [" ".join(x.split()) for r in found for x in (r["text"] or "").split("\n") if x.strip()]
+    every = {" ".join(x.split()) for _, t in rows for x in (t or "").split("\n") if x.strip()}
+    assert sorted(left) == sorted(every)
+    # rows equal in key and text are one document
+    twice = spark.createDataFrame([(1, "same words in here")] * 2, "doc_id LONG, text STRING")
+    assert [r["text"] for r in fuzzy_lines.dedup_lines(twice).collect()] == ["same words in here"] * 2
+
+
 def test_exact_lines_of_documents(spark):
     """What goes besides equal lines is similar to a line that stays before it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
