@@ -110,6 +110,31 @@ def test_newest_per_cluster(spark):
     assert {tuple(r) for r in kept.collect()} == {(0, 2, 0), (0, 1, 1), (1, 1, 2)}
 
 
+def test_newest_under_a_large_limit_move_no_rows(spark):
+    frame = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).cast("int").alias("cluster"),
+        F.lit(1).alias("batch_id"), F.col("id").alias("seq"),
+    )
+    kept = retention.keep_newest(frame, ["cluster"], 1500)
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 4000
+
+
+def test_newest_beyond_a_large_limit(spark):
+    # a group without a name, one within the limit, and rows whose order is equal or not known
+    rows = [(i % 4 or None, i // 2000, i // 2 if i % 7 else None) for i in range(6000)]
+    rows += [(9, 0, i) for i in range(1100)]
+    frame = spark.createDataFrame(rows, "cluster INT, batch_id INT, seq INT").repartition(8)
+    kept = retention.keep_newest(frame, ["cluster"], 1100)
+    assert "Window [row_number" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    found: dict = {}
+    for r in kept.collect():
+        found.setdefault(r["cluster"], []).append((r["batch_id"], -1 if r["seq"] is None else r["seq"]))
+    for cluster in (None, 1, 2, 3, 9):
+        own = [(b, -1 if s is None else s) for c, b, s in rows if c == cluster]
+        assert sorted(found[cluster]) == sorted(own)[-1100:]
+
+
 def test_topic_pairs(spark):
     rows = [("m1", "s1"), ("m1", "s1"), ("m1", "s2"), ("m0", "s3")]
     frame = spark.createDataFrame(rows, "MainTopic STRING, SubTopic STRING")

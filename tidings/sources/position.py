@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ def positional_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def index_rows(df: DataFrame, *order_by: str, column: str = "idx") -> DataFrame:
+def index_rows(df: DataFrame, *order_by: Column | str, column: str = "idx") -> DataFrame:
     """Number the rows of ``df`` in the total order of ``order_by``.
 
     Range partitions are checkpointed so that both passes see the same rows in the same

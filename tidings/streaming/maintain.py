@@ -29,6 +29,7 @@ from tidings.operators.fits import (
     fit_hierarchy,
     fit_space,
     label_params,
+    layout_partitions,
 )
 from tidings.operators.labels import label_groups
 from tidings.plans.jobs import line_words
@@ -203,20 +204,26 @@ class TopicMaintainer:
             routed = route(
                 retention.append(inside, outside), config.threshold1, config.threshold2
             ).withColumn("model_version", F.lit(force.version).cast("bigint"))
+            arrived = placed.count()
             # what the batch itself pushes out of a warehouse need not be written
-            stored = retention.keep_newest(
-                routed.where(F.col("slot") == "warehouse"),
-                ["cluster"],
-                config.warehouse_limit,
-            )
-            state = retention.append(routed.where(F.col("slot") != "warehouse"), stored)
-            # as many files as the batch has partitions, not one for each branch of each
-            files = max(1, placed.rdd.getNumPartitions())
+            state = self._newest(routed, arrived)
+            # each branch reads all of a partition it takes part in: few files for a small batch,
+            # more for a large one, so that no task has to read a large partition once a branch
+            files = max(1, placed.rdd.getNumPartitions(), layout_partitions(arrived))
             self.store.write_state(state.coalesce(files), force.generation, batch_id)
-            return placed.count()
+            return arrived
         finally:
             placed.unpersist()
 
+    def _newest(self, rows: DataFrame, most: int) -> DataFrame:
+        """``rows`` without what is too old for its warehouse; there are at most ``most``."""
+        limit = self.config.warehouse_limit
+        if most <= limit:
+            return rows
+        held = rows.where(F.col("slot") == "warehouse")
+        kept = retention.keep_newest(held, ["cluster"], limit)
+        return retention.append(rows.where(F.col("slot") != "warehouse"), kept)
+
     # -- refits ----------------------------------------------------------------------
 
     def _refit_all(
@@ -257,10 +264,7 @@ class TopicMaintainer:
             )
             .withColumn("model_version", F.lit(batch_id).cast("bigint"))
         )
-        stored = retention.keep_newest(
-            again.where(F.col("slot") == "warehouse"), ["cluster"], config.warehouse_limit
-        )
-        snapshot = retention.append(again.where(F.col("slot") == "local"), stored)
+        snapshot = self._newest(again, retained.count())
         self.store.write_state(snapshot, batch_id, batch_id)
         # the models and labels are kept, their documents are in the snapshot
         remove(spark, f"{self.store.path}/{path}/assigned")
