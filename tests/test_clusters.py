@@ -163,3 +163,20 @@ def test_lemmas(spark):
     lemmas = spark.createDataFrame([("Cats", "cat"), ("ran", "Run")], "form STRING, lemma STRING")
     found = {r["doc_id"]: r["content"] for r in normalise_with_lemmas(docs, lemmas).collect()}
     assert found == {1: "cat run cat", 2: ""}
+
+
+def test_lemmas_of_a_large_table(spark, monkeypatch):
+    rows = [(1, ["Cats", "the", "ran", "Cats", None, "ox"]), (1, ["Dogs"]), (None, []), (3, None), (4, ["was"])]
+    docs = spark.createDataFrame(rows, "doc_id INT, words ARRAY<STRING>")
+    lemmas = spark.createDataFrame(
+        [("Cats", "cat"), ("Cats", "hat"), ("ran", "Run"), ("Dogs", None), ("was", "be"), (None, "x")],
+        "form STRING, lemma STRING",
+    )
+    small = normalise_with_lemmas(docs, lemmas)
+    monkeypatch.setattr("tidings.operators.lda.LEMMAS_IN_PLACE", 1)
+    large = normalise_with_lemmas(docs, lemmas)
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, large.collect()), key=key) == sorted(map(tuple, small.collect()), key=key)
+    # places of tokens do not travel, nor do tokens that no form is equal to
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "array_distinct" in plan

@@ -12,6 +12,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tidings.functions import text
 from tidings.operators.features import FeatureSpace, fit_features, fit_features_by_group
@@ -58,8 +59,8 @@ def normalise_with_lemmas(
     with several lemmas the first in order counts. Every row of ``df`` gives a row.
 
     A table of up to ``LEMMAS_IN_PLACE`` forms is broadcast as a dictionary: tokens are
-    looked up in their arrays and never leave their row. A larger one is joined token by
-    token.
+    looked up in their arrays and never leave their row. A larger one is joined with the
+    different tokens of each row, and what is found goes back to the row.
     """
     forms = lemmas.where(F.col("form").isNotNull()).groupBy("form").agg(F.min("lemma").alias("lemma"))
     listed = forms.limit(LEMMAS_IN_PLACE + 1).collect()
@@ -68,20 +69,27 @@ def normalise_with_lemmas(
         return _lemmas_in_place(df, found, stop_words, key, words)
     df = df.select(key, words).withColumn("_row", F.monotonically_increasing_id())
     df = stage(df, "lemma-rows")  # row numbers must not change when a task is run again
-    placed = df.select("_row", key, F.posexplode_outer(words).alias("pos", "token"))
-    known = small_side(forms)
-    lemma = F.coalesce(F.col("lemma"), F.col("token"))
-    kept = (F.length(lemma) > 2) & ~lemma.isin(list(stop_words))
-    ordered = F.array_sort(
-        # the tokens of one document
-        F.collect_list(F.when(kept, F.struct(F.col("pos"), F.lower(lemma).alias("word"))))
-    )
-    return (
-        placed.join(known, placed["token"] == known["form"], "left")
-        .groupBy("_row", key)
-        .agg(F.array_join(F.transform(ordered, lambda t: t["word"]), " ").alias("content"))
-        .drop("_row")
+    # only what has to be looked up travels: the different tokens of a row, without places
+    different = F.explode(F.array_distinct(words)).alias("token")
+    known = small_side(forms.where(F.col("lemma").isNotNull()))
+    met = df.select("_row", different).join(known, F.col("token") == F.col("form"))
+    found = met.groupBy("_row").agg(
+        F.collect_list("form").alias("_forms"), F.collect_list("lemma").alias("_lemmas")
     )
+    replaced = _replaced(words, "_forms", "_lemmas").alias("_found")
+    placed = text.filled(df, words).join(found, "_row", "left")
+    return _content(placed.select(key, replaced), stop_words, key)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _replaced(rows: pd.Series, forms: pd.Series, lemmas: pd.Series) -> pd.Series:
+    """Tokens by their lemmas, which stand beside their forms; others stay."""
+
+    def one(row, own, theirs):
+        known = {} if own is None else dict(zip(own, theirs))
+        return [known.get(w, w) for w in row]
+
+    return pd.Series([one(*row) for row in zip(rows, forms, lemmas)], dtype=object)
 
 
 def _lemmas_in_place(
@@ -95,12 +103,16 @@ def _lemmas_in_place(
         known = shared.value
         return rows.map(lambda row: [known.get(w, w) for w in row])
 
-    found = looked_up(words)
+    return _content(filled.select(key, looked_up(words).alias("_found")), stop_words, key)
+
+
+def _content(found: DataFrame, stop_words: Sequence[str], key: str) -> DataFrame:
+    """``key, content`` of ``key, _found``: lemmas that are kept, lower-cased, as one string."""
     listed = list(stop_words)
     kept = F.filter(
         "_found", lambda w: w.isNotNull() & (F.length(w) > 2) & ~w.isin(listed)
     )
-    return filled.select(key, found.alias("_found")).select(
+    return found.select(
         key, F.array_join(F.transform(kept, lambda w: F.lower(w)), " ").alias("content")
     )
 
