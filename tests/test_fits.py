@@ -250,6 +250,24 @@ def test_steps_equal_a_plain_loop(monkeypatch):
     assert np.allclose(inner, x, atol=1e-4) and np.allclose(outer, y, atol=1e-4)
 
 
+def test_repeats_are_summed_once_and_as_reduceat_does(monkeypatch):
+    """Words that occur once, a few times and often in a step; one sort serves both tables."""
+    rng = np.random.default_rng(4)
+    for ids in (rng.integers(0, 9, 300), rng.integers(0, 200, 300), np.arange(20), np.zeros(40, int), np.zeros(1, int)):
+        slopes = rng.normal(size=(len(ids), 7)).astype(np.float32)
+        order = np.argsort(ids, kind="stable")
+        rows, first = np.unique(ids[order], return_index=True)
+        repeats = skipgram._Repeats(ids)
+        assert np.array_equal(repeats.rows, rows)
+        assert np.array_equal(repeats.sums(slopes), np.add.reduceat(slopes[order], first, axis=0))
+    made = []
+    whole = skipgram._Repeats
+    monkeypatch.setattr(skipgram, "_Repeats", lambda ids: made.append(len(ids)) or whole(ids))
+    tables = np.zeros((2, 6, 3), np.float32)
+    skipgram.train_shard(rng.integers(0, 6, 70), np.zeros(70, int), *tables, range(1), 1, 2, 9)
+    assert len(made) == 1  # three or four blocks are one step
+
+
 def test_pca_variance_matches_numpy(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(200, 5)) * np.array([5, 3, 1, 1, 1])
