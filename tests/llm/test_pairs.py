@@ -164,6 +164,35 @@ def test_points_of_neighbouring_lengths_meet():
     assert shingle_join.may_link(points[0], points[1])
 
 
+def test_keys_of_the_same_items_count_once(spark):
+    rows = [(k, i) for k, items in enumerate(["ab", "ab", "abc", "bc", "ab", "de"]) for i in items]
+    found = links.different_keys(spark.createDataFrame(rows, "key LONG, id STRING")).collect()
+    assert sorted((r["key"], r["id"], r["weight"]) for r in found) == [
+        (0, "a", 3), (0, "b", 3), (2, "a", 1), (2, "b", 1), (2, "c", 1), (3, "b", 1), (3, "c", 1), (5, "d", 1), (5, "e", 1)
+    ]
+
+
+def test_texts_just_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Copies of one text with a part of their own: neighbours link, others share up to 0.79."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(40):  # ten of 400 words apart: 50 of 396 shingles
+        varied = list(base)
+        for k in rng.sample(range(2, 398, 5), 10):
+            varied[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(varied)))
+        varied[0] = f"y{i}"
+        rows.append((100 + i, " ".join(varied)))
+    compared = []
+    monkeypatch.setattr(links, "verified", lambda pairs, *rest, real=links.verified: compared.append(pairs) or real(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    found = {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_groups(docs).collect()}
+    assert found == brute_components(rows)[1]
+    assert found[139] == 39 and len(set(found.values())) > 20
+    assert sum(p.count() for p in compared) < 6 * len(rows)
+
+
 def test_groups_of_a_long_path(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "id LONG, other LONG")
     found = {r["id"]: r["component"] for r in links.groups(pairs).collect()}

@@ -39,8 +39,10 @@ from tidings.session import small_side, stage
 WIDTH = 5
 #: Pairs link when ``100 * shared >= PERCENT * all``.
 PERCENT = 80
-#: Fewest coordinates of a count vector, and shingles that a coordinate stands for at most.
-GROUPS, GROUP_SIZE = 128, 4
+#: Fewest coordinates of a count vector, and shingles that a coordinate stands for at most: by
+#: default, and in the fine points that make pairs. Finer counts leave out more pairs that do not
+#: link, but are larger, so they travel only for sets that have a candidate by the others.
+GROUPS, GROUP_SIZE, FINE = 128, 4, 1
 #: Entries of a tree node.
 NODE = 16
 #: Shingles in more rows than this may go to the end of the order, the most frequent
@@ -155,7 +157,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, whole: bool) -> DataFrame:
-    """``id, point`` with packed count vectors, and if ``whole`` ``content``, the sorted sets.
+    """``id, point`` with packed count vectors, and ``fine`` ones or if ``whole`` ``content``, the sets.
 
     Of rows with the same id the one with the smallest vector counts.
     """
@@ -163,26 +165,24 @@ def sets_of(docs: DataFrame, whole: bool) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(batch.column(1)))
         columns = [batch.column(0), pa.array([count_vector(s) for s in sets], pa.binary())]
-        names = ["id", "point"]
-        if whole:
-            columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-            names.append("content")
-        return pa.RecordBatch.from_arrays(columns, names)
+        last = [s.tobytes() if whole else count_vector(s, FINE) for s in sets]
+        columns.append(pa.array(last, pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, ["id", "point", name])
 
     kind = docs.schema["id"].dataType.simpleString()
-    found = map_blocks(docs, f"id {kind}, point binary" + ", content binary" * whole, run)
-    kept = F.struct("point", "content") if whole else F.struct("point")
-    return found.groupBy("id").agg(F.min(kept).alias("least")).select("id", "least.*")
+    name = "content" if whole else "fine"
+    found = map_blocks(docs, f"id {kind}, point binary, {name} binary", run)
+    return found.groupBy("id").agg(F.min(F.struct("point", name)).alias("least")).select("id", "least.*")
 
 
-def count_vector(tokens: np.ndarray) -> bytes:
+def count_vector(tokens: np.ndarray, group_size: int = GROUP_SIZE) -> bytes:
     """Shingles per group, the number of groups following the size of the set.
 
-    A group holds some four shingles: with many more of them, unlike sets would have like
-    counts. A first byte tells how many bytes a count takes.
+    A group holds some ``group_size`` shingles: with many more of them, unlike sets would have
+    like counts. A first byte tells how many bytes a count takes.
     """
     groups = GROUPS
-    while groups * GROUP_SIZE < len(tokens):
+    while groups * group_size < len(tokens):
         groups *= 2
     place = (tokens >> np.uint64(17)).astype(np.int64) & (groups - 1)
     counts = np.bincount(place, minlength=groups)
@@ -190,9 +190,13 @@ def count_vector(tokens: np.ndarray) -> bytes:
     return bytes([kind().itemsize]) + counts.astype(kind).tobytes()
 
 
-def unpacked(point: bytes) -> np.ndarray:
+def _packed(point: bytes) -> np.ndarray:
     kind = np.uint8 if point[0] == 1 else np.uint32
-    return np.frombuffer(point, kind, offset=1).astype(np.int32)
+    return np.frombuffer(point, kind, offset=1)
+
+
+def unpacked(point: bytes) -> np.ndarray:
+    return _packed(point).astype(np.int32)
 
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
@@ -244,27 +248,39 @@ class CountTree:
             "group": group if all(c["group"] == group for c in children) else None,
         }
 
-    def search(self, point: np.ndarray, group) -> Iterator[int]:
-        """Sets of other groups than ``group`` that may link with one of these counts."""
-        size = point.sum(dtype=np.int64)
-        todo = [self.root]
-        while todo:
-            node = todo.pop()
-            if node["group"] is not None and node["group"] == group:
-                continue
-            if 100 * node["largest"] < PERCENT * size or 100 * size < PERCENT * node["smallest"]:
+
+def tree_pairs(one: CountTree, two: CountTree) -> list[tuple]:
+    """Names and bounds of pairs of different groups that may link, by pairs of nodes.
+
+    A pair of nodes is left out by its bound, two leaves are compared at once. A tree joined
+    with itself gives each pair once.
+    """
+    found, todo = [], [(one.root, two.root)]
+    while todo:
+        a, b = todo.pop()
+        if a["group"] is not None and a["group"] == b["group"]:
+            continue
+        if a is not b:
+            if 100 * a["largest"] < PERCENT * b["smallest"] or 100 * b["largest"] < PERCENT * a["smallest"]:
                 continue
-            shared = np.minimum(point, node["upper"]).sum()
+            shared = np.minimum(a["upper"], b["upper"]).sum(dtype=np.int64)
             # a link needs shared >= p / (100 + p) of both sizes together
-            if (100 + PERCENT) * shared < PERCENT * (size + node["smallest"]):
-                continue
-            if "children" in node:
-                todo += node["children"]
+            if (100 + PERCENT) * shared < PERCENT * (a["smallest"] + b["smallest"]):
                 continue
-            rows = node["rows"]
-            bound = np.minimum(point, self.points[rows]).sum(1)
-            fits = (100 + PERCENT) * bound >= PERCENT * (size + self.size[rows])
-            yield from self.names[rows[fits & (self.own[rows] != group)]].tolist()
+        if a is b and "children" in a:
+            todo += [(x, y) for k, x in enumerate(a["children"]) for y in a["children"][k:]]
+        elif "children" in a:
+            todo += [(x, b) for x in a["children"]]
+        elif "children" in b:
+            todo += [(a, y) for y in b["children"]]
+        else:
+            rows, others = a["rows"], b["rows"]
+            bound = np.minimum(one.points[rows][:, None], two.points[others]).sum(2, dtype=np.int64)
+            both = one.size[rows][:, None] + two.size[others]
+            fits = ((100 + PERCENT) * bound >= PERCENT * both) & (one.own[rows][:, None] != two.own[others])
+            i, j = np.nonzero(np.triu(fits, 1) if a is b else fits)
+            found.append((one.names[rows[i]], two.names[others[j]], bound[i, j] / both[i, j]))
+    return found
 
 
 def may_link(a: bytes, b: bytes) -> bool:
@@ -276,28 +292,31 @@ def may_link(a: bytes, b: bytes) -> bool:
 
 
 def candidates(points: list[bytes], own: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of different groups whose bound allows a link.
+    """Pairs of different groups whose bound allows a link, those of the highest bound first.
 
-    A tree holds the points of one length. Points of twice the length are folded to look
-    in it; longer ones have more than twice the shingles and link with none of it.
+    A tree holds the points of one length. Points of twice the length are folded to meet
+    it; longer ones have more than twice the shingles and link with none of it.
     """
     if len(points) == 2:  # a tree of one pair is the pair
         if may_link(*points):
             yield 0, 1
         return
     by_length: dict[int, list[int]] = {}
-    vectors = [unpacked(p) for p in points]
+    vectors = [_packed(p) for p in points]
     for i, v in enumerate(vectors):
         by_length.setdefault(len(v), []).append(i)
+    parts = []
     for groups, names in by_length.items():
         tree = CountTree(np.stack([vectors[i] for i in names]), np.array(names), own[names])
-        for i in names:
-            for j in tree.search(vectors[i], own[i]):
-                if i < j:
-                    yield i, j
-        for i in by_length.get(2 * groups, ()):
-            for j in tree.search(folded(vectors[i], groups), own[i]):
-                yield i, j
+        parts += tree_pairs(tree, tree)
+        longer = by_length.get(2 * groups, [])
+        if longer:
+            short = np.stack([folded(vectors[i].astype(np.int32), groups) for i in longer])
+            parts += tree_pairs(CountTree(short, np.array(longer), own[longer]), tree)
+    if parts:
+        i, j, bound = (np.concatenate(p) for p in zip(*parts))
+        order = np.argsort(-bound, kind="stable")
+        yield from zip(i[order].tolist(), j[order].tolist())
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,6 +350,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         similar,
         points.select("id", F.col("point").alias("content")),
         may_link,
+        finer=points.select("id", F.col("fine").alias("content")),
     )
     placed = (
         classes.join(labels.withColumnRenamed("id", "first"), "first", "left")
