@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import (
     byte_class,
-    map_blocks,
     mix,
     span_hashes,
+    text_blocks,
     text_bytes,
     whole_text,
     word_spans,
@@ -40,6 +40,8 @@ EPOCHS, BATCH, RATE = 5, 128, 0.01
 LEAST = 20
 #: Steps that a small sample is trained for, over at most so many epochs.
 STEPS, MOST_EPOCHS = 150, 40
+#: Bytes of text whose words are found at a time; that takes some eighty times as much memory.
+PART_BYTES = 1 << 17
 _WORD = byte_class(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -64,6 +66,15 @@ class Words:
             if text is not None:
                 part.append(text)
                 held += len(text)
+        return cls._joined(parts)
+
+    @classmethod
+    def of_column(cls, column: pa.Array) -> Words:
+        """The words of a column, taken in parts of ``PART_BYTES`` of text."""
+        return cls._joined([cls(part) for part in text_blocks(column, PART_BYTES)])
+
+    @classmethod
+    def _joined(cls, parts: list[Words]) -> Words:
         whole = cls(pa.array([], pa.string()))
         if parts:
             whole.word = np.concatenate([p.word for p in parts])
@@ -453,14 +464,15 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(network)
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    kept = [F.col(c) for c in columns]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = sent.value.probabilities(Words(batch.column(batch.num_columns - 1)))
-        values = [*batch.columns[:-1], pa.array(found, pa.float64())]
-        return pa.RecordBatch.from_arrays(values, [*batch.schema.names[:-1], "score"])
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        found = [sent.value.probabilities(Words.of_column(b)) for b in text_blocks(texts)]
+        return pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
-    read = docs.select(*kept, F.lower(whole_text("text")).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    scored = map_blocks(read, ", ".join([*fields, "score double"]), run)
+    # only texts and scores travel; an expression that may not be repeated is evaluated once
+    scored = docs.select(
+        *[F.col(c) for c in columns],
+        probability.asNondeterministic()(F.lower(whole_text("text"))).alias("score"),
+    )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
