@@ -1,6 +1,9 @@
+import random
+
 from pyspark.ml.feature import StopWordsRemover, Tokenizer
+from pyspark.sql import functions as F
 
-from tidings.functions import text
+from tidings.functions import byte_words, text
 from tidings.plans import jobs
 
 ARTICLE = (
@@ -131,3 +134,30 @@ def test_line_words(spark):
     line = "<title>x</title><content> Alpha the beta </content>"
     frame = spark.createDataFrame([(line,)], "value STRING")
     assert jobs.line_words(frame).first().words == ["alpha", "beta"]
+
+
+def test_byte_words_are_those_of_the_expressions(spark, monkeypatch):
+    """Also of NULL, empty and odd texts, of any length of a block."""
+    rng = random.Random(4)
+    parts = ["a", "It", "the", "The", "don't", "x1", "12", "Été", "Kelvin", "İx", " ", "  ", "\n", "\t\x0b", "\r\f", "-",
+             " ", " ", "\U0001f600", "_", "ab_cd", "foo", "Bar,", "...", "q", "\x1c", "ét"]
+    texts = [None, "", " ", "a", "12", "a b", "1 2", " \n", "the", "foo", " foo ", "é", "the a", "- foo -", "foo\x00bar"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, value STRING").repartition(3)
+    stops = ["The", "foo", "it"]
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(byte_words, "BLOCK_BYTES", size)
+        for made, content, cased in (
+            (byte_words.article_words, F.trim(text.clean_article("value")), True),
+            (byte_words.lda_words, text.clean_for_lda("value"), False),
+        ):
+            both = text.with_words(made(df, "value", stops, "found"), content, stops, cased)
+            rows = both.collect()
+            assert len(rows) == len(texts)
+            assert [(r.value, r.found) for r in rows] == [(r.value, r.words) for r in rows]
+
+
+def test_byte_words_of_no_rows_and_no_stop_words(spark):
+    df = spark.createDataFrame([(1, "One two")], "id INT, value STRING")
+    assert byte_words.article_words(df, "value", []).first().words == ["one", "two"]
+    assert byte_words.lda_words(df.where("id > 1"), "value", []).collect() == []

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tidings.functions import text
+from tidings.functions import byte_words, text
 from tidings.operators.features import FeatureSpace, fit_features, fit_features_by_group
 from tidings.operators.fits import in_parallel, lay_out
 from tidings.session import folder_names, small_side, stage
@@ -129,10 +129,7 @@ def prepare_lda(
     With ``lemmas`` the text is stripped of punctuation and lemmatised instead.
     """
     if lemmas is None:
-        cleaned = text.clean_for_lda(text_col)
-        return text.with_words(df, cleaned, stop_words, case_sensitive=False).select(
-            key, "words"
-        )
+        return byte_words.lda_words(df, text_col, stop_words).select(key, "words")
     plain = F.regexp_replace(F.col(text_col), r"[^\p{Alnum}\s]+", "")
     tokens = df.select(key, F.filter(F.split(plain, r"\s+"), lambda w: w != "").alias("words"))
     joined = normalise_with_lemmas(tokens, lemmas, stop_words, key)
