@@ -261,6 +261,44 @@ def test_exact_lines_of_documents(spark):
         assert r["kept"] == (best == (r["id"], r["line"])) and best <= first[line]
 
 
+def test_what_lines_leave_on_disk(spark):
+    """Marks and points are deleted, and shuffles of the steps freed, before the result is read."""
+    from pathlib import Path
+
+    from tidings.session import freed_shuffles, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "tidings"
+    rows = [(i, f"first line of number {i}\nanother line that all have in common") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    before = set(folder.glob("*")) if folder.exists() else set()
+    assert fuzzy_lines.dedup_lines(docs).where("n_dropped > 0").count() >= 39
+    made = {p.name.rpartition("-")[0] for p in set(folder.glob("*")) - before}
+    assert {"lines", "distinct-lines"} <= made and not {m for m in made if m.startswith("marked")}
+    stored = [p for p in set(folder.glob("*")) - before if p.name.startswith("lines-")]
+    assert spark.read.parquet(*map(str, stored)).columns == ["id", "line", "a", "b"]
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    with freed_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == was
+
+
+def test_candidates_of_few_and_of_many_are_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 24, fuzzy_lines.BLOCKS)
+    for _ in range(200):
+        n = int(rng.integers(2, 7))
+        flips = [sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 14), False)) for _ in range(n * 8)]
+        bits = base ^ np.array(flips).reshape(n, 8)
+        points = np.column_stack([bits, rng.integers(30, 45, n)]).tolist()
+        own = rng.integers(0, 3, n)
+        few = {frozenset(p) for p in fuzzy_lines.candidates(points, own)}
+        with monkeypatch.context() as patch:
+            patch.setattr(fuzzy_lines, "FEW", 0)
+            assert few == {frozenset(p) for p in fuzzy_lines.candidates(points, own)}
+
+
 def test_simhash_blocks_of_close_lines():
     import pyarrow as pa
 
