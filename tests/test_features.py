@@ -155,3 +155,18 @@ def test_a_hot_group_among_many(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 900 + 600 + 2
     assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("part", [1 << 20, 4])
+def test_terms_are_counted_before_they_leave_a_task(spark, monkeypatch, part):
+    """NULL tokens, words and groups count as they did when each token was a row."""
+    monkeypatch.setattr(features, "PART", part)
+    rows = [
+        ("a", 1, ["x", "y", "x"]), ("a", 1, ["x", None]), ("a", None, None), (None, 1, ["zß", ""]), (None, 1, []),
+    ]
+    found = features.term_rows(spark.createDataFrame(rows, "g string, h int, w array<string>"), ["g", "h"], "w")
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["g"], r["h"], r["term"]): (r["n"], r["df"]) for r in found.collect()} == {
+        ("a", 1, "x"): (3, 2), ("a", 1, "y"): (1, 1), ("a", 1, None): (3, 0), ("a", None, None): (1, 0),
+        (None, 1, "zß"): (1, 1), (None, 1, ""): (1, 1), (None, 1, None): (2, 0),
+    }

@@ -7,9 +7,12 @@ size, so no document is ever shuffled to be featurised.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
@@ -25,6 +28,8 @@ from tidings.operators.grouping import (
 )
 
 _ALL = "_all"
+#: Tokens that are counted at a time, or one longer document.
+PART = 1 << 18
 
 
 def adaptive_params(
@@ -45,22 +50,69 @@ def adaptive_params(
 def term_rows(df: DataFrame, group_cols: Sequence[str], words: str) -> DataFrame:
     """Occurrences ``n`` and document frequency ``df`` of every ``(group, term)``.
 
-    Each document's tokens are sorted and zipped with their predecessors: a token that
-    differs from the one before is the term's first in the document. The zip is one
-    longer than the document, which leaves exactly one NULL term per document: a row with
+    Tokens are counted where they lie, a part of an Arrow batch at a time, so only counts
+    leave the tasks' workers and are summed. Each document adds one to a NULL term: a row with
     ``df`` 0 whose count is the number of documents.
     """
-    ordered = df.select(
-        *group_cols,
-        F.sort_array(F.coalesce(F.col(words), F.array().cast("array<string>"))).alias("_s"),
+    groups = df.select(*group_cols).schema
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in groups]
+    schema = ", ".join([*kinds, "_found array<struct<term: string, n: bigint, df: bigint>>"])
+    counted = df.select(*group_cols, F.col(words).alias("_words")).mapInArrow(_counts, schema)
+    return counted.select(*group_cols, F.inline("_found")).groupBy(*group_cols, "term").agg(
+        F.sum("n").alias("n"), F.sum("df").alias("df")
     )
-    before = F.concat(F.array(F.lit(None).cast("string")), "_s")
-    pairs = ordered.select(
-        *group_cols, F.inline(F.arrays_zip(F.col("_s"), before)).alias("term", "before")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``group..., _found`` of rows ``group..., words``: a group's terms in a part of a batch."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(int(np.searchsorted(ends, before + PART, side="right")), low + 1)
+            yield _part_counts(batch.slice(low, high - low))
+            low = high
+
+
+def _part_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    *groups, words = batch.columns
+    rows = len(words)
+    group = np.zeros(rows, np.int64)  # numbers the different groups
+    for column in groups:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        group = np.unique(group * (rows + 1) + codes, return_inverse=True)[1]
+    first = np.unique(group, return_index=True)[1]
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(rows), sizes)
+    tokens = words.flatten().dictionary_encode()
+    held = tokens.is_valid().to_numpy(zero_copy_only=False)
+    code = tokens.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(len(tokens.dictionary), 1)
+    # documents' terms, then groups' terms: how often, and in how many documents
+    met, times = np.unique(row[held] * width + code[held], return_counts=True)
+    pair, at = np.unique(group[met // width] * width + met % width, return_inverse=True)
+    n = np.bincount(at, times, len(pair)).astype(np.int64)
+    in_docs = np.bincount(at, minlength=len(pair))
+    # a NULL token counts as the one NULL that each document adds
+    nulls = np.bincount(group, minlength=len(first))
+    nulls += np.bincount(group[row[~held]], minlength=len(first))
+    owner = np.concatenate([pair // width, np.arange(len(first))])
+    order = np.argsort(owner, kind="stable")
+    terms = tokens.dictionary.take(pa.array(pair % width))
+    found = pa.StructArray.from_arrays(
+        [
+            pa.concat_arrays([terms, pa.nulls(len(first), terms.type)]).take(pa.array(order)),
+            pa.array(np.concatenate([n, nulls])[order], pa.int64()),
+            pa.array(np.concatenate([in_docs, np.zeros(len(first), np.int64)])[order], pa.int64()),
+        ],
+        ["term", "n", "df"],
     )
-    is_first = F.col("term").isNotNull() & ~F.col("term").eqNullSafe(F.col("before"))
-    return pairs.groupBy(*group_cols, "term").agg(
-        F.count("*").alias("n"), F.sum(is_first.cast("long")).alias("df")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))])
+    return pa.RecordBatch.from_arrays(
+        [*[c.take(pa.array(first)) for c in groups], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)],
+        [*batch.schema.names[:-1], "_found"],
     )
 
 
