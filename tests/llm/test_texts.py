@@ -187,6 +187,29 @@ def test_network_learns_spellings(labelled):
     assert np.array_equal(again.p["out"], network.p["out"])
 
 
+def test_misspelt_words_raise_the_score(labelled):
+    """Clean texts with two marking words, two letters of each swapped, score above clean ones."""
+    rng = random.Random(8)
+    marks = ["villain", "rubbish", "coward", "hideous", "parasite", "blockhead"]
+    texts = []
+    for text, label in zip(*labelled):
+        words = [w for w in text.split(" ") if not w.startswith("vex")]
+        for _ in range(3 if label else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(marks))
+        texts.append(" ".join(words))
+    network = toxicity.train(texts[:400], labelled[1][:400], 0.33)
+    clean = [t for t, y in zip(texts[400:], labelled[1][400:]) if not y]
+    planted = []
+    for text in clean * 3:
+        words = text.split(" ")
+        for mark in rng.sample(marks, 2):
+            at = rng.randrange(1, len(mark) - 1)
+            words.insert(rng.randrange(len(words)), mark[:at] + mark[at + 1] + mark[at] + mark[at + 2 :])
+        planted.append(" ".join(words))
+    found = [network.probabilities(toxicity.Words(pa.array(t))) for t in (clean, planted)]
+    assert (found[1] > np.quantile(found[0], 0.9)).mean() >= 0.5
+
+
 def test_gradients_are_those_of_the_loss():
     network = toxicity.Network(1)
     for k, v in network.p.items():

@@ -36,6 +36,9 @@ BUCKETS, WIDTH, UNITS = 1 << 14, 8, 8
 #: Lengths of character n-grams, in bytes, word boundaries included.
 GRAMS = (3, 5)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
+#: Share of the training texts whose words are misspelt, and of the windows whose words are
+#: known by their n-grams alone, so that spellings that were not seen say something.
+MISSPELT, NAMELESS = 0.3, 0.5
 #: Texts of each label that are needed to learn, or to calibrate, at all.
 LEAST = 20
 #: Steps that a small sample is trained for, over at most so many epochs.
@@ -314,6 +317,36 @@ def _input_gradients(words: Words, wanted: np.ndarray, d_word: np.ndarray):
     return table, grams
 
 
+_LOOKS = {"a": "4@", "e": "3", "i": "1!", "o": "0", "s": "5$", "t": "7", "b": "8", "l": "1"}
+
+
+def misspelt(word: str, rng: np.random.Generator) -> str:
+    """``word`` with one change: letters swapped, doubled, left out, replaced, or an ending."""
+    if len(word) < 4:
+        return word
+    at, way = int(rng.integers(1, len(word) - 1)), int(rng.integers(6))
+    if way == 0:
+        return word[:at] + word[at + 1] + word[at] + word[at + 2 :]
+    if way == 1:
+        return word[:at] + word[at] + word[at:]
+    if way == 2:
+        return word[:at] + word[at + 1 :]
+    if way == 3:
+        return word[:at] + "*" + word[at + 1 :]
+    if way == 4:
+        return word + ("s", "ed", "er", "ing", "ly")[int(rng.integers(5))]
+    looks = [_LOOKS.get(c, c) for c in word]
+    return "".join(x[int(rng.integers(len(x)))] for x in looks)
+
+
+def _misspelt_some(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """``texts``, of which a share has each word misspelt, whatever its label."""
+    return [
+        " ".join(misspelt(w, rng) for w in text.split(" ")) if rng.random() < MISSPELT else text
+        for text in texts
+    ]
+
+
 def train(texts: list[str], labels: np.ndarray, base_rate: float, seed: int = 7) -> Network:
     """A network trained on lower-case texts and their 0/1 labels.
 
@@ -328,10 +361,10 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, seed: int = 7)
     if min((labels == 0).sum(), (labels == 1).sum()) < LEAST:
         return network
     held = np.arange(len(texts)) % 5 == 0
-    words = Words.of([t for t, h in zip(texts, held) if not h])
+    rng, adam = np.random.default_rng(seed), _Adam(network.p)
+    words = Words.of(_misspelt_some([t for t, h in zip(texts, held) if not h], rng))
     own = labels[~held]
     start, size, row = words.windows()
-    rng, adam = np.random.default_rng(seed), _Adam(network.p)
     used = np.arange(len(row))
     later = max(1, len(row) // (3 * BATCH))  # steps of an epoch after the first
     epochs = min(MOST_EPOCHS, max(EPOCHS, STEPS // later))
@@ -342,7 +375,8 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, seed: int = 7)
         rate = RATE * (1 - epoch / epochs)
         for i in range(0, len(used), BATCH):
             batch = used[i : i + BATCH]
-            _learn(network, adam, words, start[batch], size[batch], own[row[batch]], rate)
+            named = rng.random(len(batch)) >= NAMELESS
+            _learn(network, adam, words, start[batch], size[batch], own[row[batch]], rate, named)
     if min((labels[held] == 0).sum(), (labels[held] == 1).sum()) < LEAST:
         held[:] = True  # too few to calibrate on alone
     rest = Words.of([t for t, h in zip(texts, held) if h])
@@ -360,7 +394,8 @@ def _telling(network: Network, words: Words) -> np.ndarray:
     return np.flatnonzero(rank * 3 <= count[row])
 
 
-def _learn(network, adam, words, start, size, labels, rate) -> None:
+def _learn(network, adam, words, start, size, labels, rate, named) -> None:
+    """One step; the words of windows that are not ``named`` have no embedding of their own."""
     steps = np.arange(int(size.max()))[:, None]
     live = steps < size
     at = np.where(live, start + steps, start)
@@ -373,7 +408,10 @@ def _learn(network, adam, words, start, size, labels, rate) -> None:
     mean = np.add.reduceat(total, ends - spans, axis=0) / (len(GRAMS) * spans)[:, None]
     x = np.concatenate([network.p["word"][words.word[wanted]], mean], axis=1).astype(np.float32)
     place = place.reshape(at.shape)
-    gradients, d_x = network.gradients(x[place], live, labels)
+    fed = x[place]
+    fed[:, ~named, :WIDTH] = 0
+    gradients, d_x = network.gradients(fed, live, labels)
+    d_x[:, ~named, :WIDTH] = 0
     d_word = _scatter(place.ravel(), d_x.reshape(-1, 2 * WIDTH), len(wanted))
     gradients["word"], gradients["gram"] = _input_gradients(words, wanted, d_word)
     adam.step(gradients, rate)
