@@ -210,6 +210,22 @@ def test_misspelt_words_raise_the_score(labelled):
     assert (found[1] > np.quantile(found[0], 0.9)).mean() >= 0.5
 
 
+def test_some_training_texts_of_both_labels_are_misspelt(labelled, monkeypatch):
+    """Those that calibrate stay as they are; a changed word is still close to its own."""
+    seen, of = [], toxicity.Words.of
+    monkeypatch.setattr(toxicity.Words, "of", staticmethod(lambda texts: seen.append(texts) or of(texts)))
+    monkeypatch.setattr(toxicity, "MOST_EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    texts, labels = labelled[0], labelled[1]
+    toxicity.train(texts, labels, 0.33)
+    given = [(t, y) for i, (t, y) in enumerate(zip(texts, labels)) if i % 5]
+    changed = [y for t, (own, y) in zip(seen[0], given) if t != own]
+    assert 0.1 * len(given) < len(changed) < 0.5 * len(given) and {0.0, 1.0} <= set(map(float, changed))
+    assert seen[1] == texts[::5]
+    for text, (own, _) in zip(seen[0], given):
+        assert all(abs(len(a) - len(b)) <= 3 for a, b in zip(text.split(" "), own.split(" "), strict=True))
+
+
 def test_gradients_are_those_of_the_loss():
     network = toxicity.Network(1)
     for k, v in network.p.items():
