@@ -55,6 +55,23 @@ def test_edit_distances():
             )
 
 
+def test_similar_pairs_side_by_side(monkeypatch):
+    monkeypatch.setattr(edits, "FEW", 0)
+    rng = random.Random(6)
+    for letters in ("ab", "abcdefgh ", "a\u00e9\u6f22b", "a\U0001d4b3b"):
+        pairs = [("", ""), ("a", ""), ("same", "same")]
+        for size in [rng.choice([5, 9, 10, 11, 30, 64, 130, 300, 700]) for _ in range(150)]:
+            a = rng.choices(letters, k=size)
+            b = list(a)
+            for _ in range(rng.randrange(size // 5 + 2)):
+                at, way = rng.randrange(len(b) + 1), rng.randrange(3)
+                b[at : at + (way > 0)] = rng.choice(letters) if way < 2 else ""
+            pairs.append(("".join(a), "".join(b)))
+        found = edits.similar_many(*map(list, zip(*pairs)), 0.9)
+        true = [edits.distance(a, b) <= edits.budget_of(max(len(a), len(b)), 0.9) for a, b in pairs]
+        assert found.tolist() == true and 0.1 < np.mean(true) < 0.9
+
+
 # -- shingle join ----------------------------------------------------------------------
 
 
@@ -333,6 +350,55 @@ def test_recall_of_lines_of_every_length(spark):
         assert len(near) >= 50 and len(gone & set(near)) >= 0.9 * len(near), size
 
 
+def varied(line, times, rng):
+    line = list(line)
+    for at in rng.sample(range(len(line)), times):
+        line[at] = rng.choice("uvwxyz")
+    return "".join(line)
+
+
+def test_pairs_of_a_bucket(monkeypatch):
+    """Like lines that share a key are pairs, or in a group that is named; unlike ones are not."""
+    rng = random.Random(2)
+    common = "this passage stands in every one of the lines "
+    lines = [common + "".join(rng.choices("abcdefgh ", k=rng.randint(150, 170))) for _ in range(150)]
+    lines += [varied(x, rng.randint(1, 18), rng) for x in lines[:40] for _ in range(12)]
+    packed = fuzzy_lines.packed_lines(np.arange(len(lines)), lines)
+    keys, rows = fuzzy_lines._keys_of(packed, 0, fuzzy_lines.MARKS)
+    table = np.empty((len(keys), fuzzy_lines._DEALT), np.uint64)
+    table[:, 0], table[:, 1], table[:, 2] = keys.view(np.uint64), packed["id"][rows], packed["chars"][rows]
+    table[:, 3:] = packed["sketch"][rows]
+    held = {}
+    for key, row in zip(keys.tolist(), packed["id"][rows].tolist()):
+        held.setdefault(key, set()).add(row)
+    shared = {(i, j) for v in held.values() for i in v for j in v if i < j}
+    like = {(i, j) for i, j in shared if fuzzy_lines.alike(lines[i], lines[j])}
+    a, b, _ = fuzzy_lines.bucket_pairs(table)
+    monkeypatch.setattr(fuzzy_lines, "ALWAYS", 1 << 30)
+    every = {(min(p), max(p)) for p in zip(*(v.tolist() for v in fuzzy_lines.bucket_pairs(table)[:2]))}
+    assert like <= every and len(shared) > 10_000
+    assert sum(lines[i][46:60] != lines[j][46:60] for i, j in every) < 0.2 * len(shared)
+    monkeypatch.setattr(fuzzy_lines, "ALWAYS", 0)
+    a, b, group = fuzzy_lines.bucket_pairs(table)
+    found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    groups = joined(found, range(len(lines)))
+    named = {groups[i] for i, g in zip(a.tolist(), group.tolist()) if g >= 0}
+    assert found < every and named
+    assert all(groups[i] == groups[j] and groups[i] in named for i, j in every - found)
+
+
+def test_groups_that_unlike_lines_join_in_a_bucket(spark):
+    """Two families of lines, near each other and unlike, stay two."""
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdefgh ", k=200))
+    second = varied(base, 32, rng)
+    lines = [varied(x, 1, rng) for _ in range(30) for x in (base, second)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "id LONG, text STRING")
+    found = {r["id"]: r["group_id"] for r in fuzzy_lines.decide_lines(docs).collect()}
+    pairs = [(i, j) for j in range(60) for i in range(j) if fuzzy_lines.alike(lines[i], lines[j])]
+    assert found == joined(pairs, range(60)) and len(set(found.values())) == 2
+
+
 # -- benchmark -------------------------------------------------------------------------
 
 
